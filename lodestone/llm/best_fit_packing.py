@@ -78,12 +78,16 @@ class SumIndex:
             self._pairs = out & ((1 << self.size) - 1)
         return self._pairs
 
-    def filling(self, gap: int, own: int) -> tuple[int, ...] | None:
-        """The fewest lengths, up to three, that fill the gap exactly beside a piece of length ``own``."""
+    def filling(self, gap: int, own: int, most: int) -> tuple[int, ...] | None:
+        """The fewest lengths, up to ``most``, that fill the gap exactly beside a piece of length ``own``."""
+        if not most:
+            return None
         if gap < self.size and self.present >> gap & 1 and self.often((own, gap)):
             return (gap,)
-        if two := self.pair(gap, (own,)):
+        if most > 1 and (two := self.pair(gap, (own,))):
             return two
+        if most < 3:
+            return None
         sums, rest = self.pairs(), self.present & ((1 << max(gap, 0)) - 1)
         while rest:
             n = rest.bit_length() - 1
@@ -105,8 +109,8 @@ def _runs(lengths: list[int]) -> Runs:
     return tuple((n, k) for n, k in out)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, Runs]]:
-    """(number of sequences, the lengths in each) for so many pieces of each length."""
+def exact_plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[int, Runs]]:
+    """Exact combinations of up to 1 + ``most`` pieces, then best fit of the rest."""
     left = [counts.get(n, 0) for n in range(capacity + 1)]
     out: list[tuple[int, Runs]] = []
     if left[capacity]:
@@ -115,7 +119,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, Runs]]:
     index, residual = SumIndex(left), {}
     for own in range(capacity - 1, 0, -1):
         while left[own]:
-            found = index.filling(capacity - own, own)
+            found = index.filling(capacity - own, own, most)
             if not found:
                 residual[own], left[own] = left[own], 0
                 index.drop(own)
@@ -126,6 +130,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, Runs]]:
     return out + best_fit(residual, capacity)
 
 
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, Runs]]:
+    """(number of sequences, the lengths in each) for so many pieces of each length.
+
+    Long combinations can use up short pieces that would have closed other
+    gaps, so the plans with triples, with pairs at most and with single
+    complements at most are all made; the one of fewest sequences is taken.
+    """
+    return min((exact_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(many for many, _ in p))
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Runs]]:
     """Best-fit decreasing of groups: each piece goes where it leaves the least room."""
     room: list[int] = []  # the rooms of open groups, sorted

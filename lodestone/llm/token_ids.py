@@ -29,10 +29,12 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-        for k in range(0, len(words), BATCH):
-            some = words[k : k + BATCH]
+            new = words
+        for k in range(0, len(new), BATCH):
+            some = new[k : k + BATCH]
             for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[word] = np.asarray(got.ids, np.uint32).tobytes()
 
@@ -40,9 +42,7 @@ class WordTokenizer:
         """(ids of all texts, each followed by ``end`` if given; their bounds)."""
         codes, words, bounds = flat_words(texts)
         words = words.to_pylist()
-        self._learn([w for w in words if w not in self.known])
-        if any(w not in self.known for w in words):  # learning made room
-            self._learn([w for w in words if w not in self.known])
+        self._learn(words)
         blobs = [self.known[w] for w in words]
         flat = np.frombuffer(b"".join(blobs), np.uint32)
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
