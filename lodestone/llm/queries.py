@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import best_fit_packing as packing
 from . import language_id as language
-from . import media_avi, near_dedup, pii, sharding, token_matrix
+from . import katz, media_avi, near_dedup, pii, sharding, token_matrix
 from . import quality_rules as quality
 
 
@@ -83,6 +83,12 @@ def op7_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.crc_bucket(F.col("doc_id"), 10) == 0)
+    out, model = katz.katz_scores(docs)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the documents that are labelled as of good quality."""
     return _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -96,7 +102,7 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_prob_minhash, op2_ring_shards, op3_avi_shots, op4_token_matrix, op5_complement_packing, op6_cross_parsing, op7_deobfuscated_pii, op10_ngram_ratio)
+        for f in (op1_prob_minhash, op2_ring_shards, op3_avi_shots, op4_token_matrix, op5_complement_packing, op6_cross_parsing, op7_deobfuscated_pii, op9_katz_backoff, op10_ngram_ratio)
     }
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from .arrow_words import flat_words, ranges
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 BATCH = 20_000
 
 
