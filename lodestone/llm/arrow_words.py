@@ -28,7 +28,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, least: int = 128) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of a slice hold ``limit`` bytes at most, each taken as ``least`` or more."""
     for batch in batches:
-        sizes = np.cumsum(np.maximum(least, pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)), dtype=np.int64)
+        column = batch.column(text)
+        length = pc.multiply(pc.list_value_length(column), 8) if pa.types.is_list(column.type) else pc.binary_length(column)
+        sizes = np.cumsum(np.maximum(least, pc.fill_null(length, 0).to_numpy(zero_copy_only=False)), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0

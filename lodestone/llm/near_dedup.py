@@ -214,3 +214,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alone = F.coalesce(F.col("class_size"), F.lit(1)) == 1
     out = out.select("doc_id", "node", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
     return out
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class: that of the least doc_id.
+
+    Only rows that go, or that equal another in doc_id and text, are looked up
+    by key; all others stay where they are.
+    """
+    out = written(near_duplicates(docs, doc_id, text, threshold), "decisions")
+    key = ["_id", "_node"]
+    named = docs.withColumn("_node", F.xxhash64(text)).withColumn("_id", F.coalesce(F.col(doc_id).cast("string"), F.lit("\0")))
+    marks = out.where("node is not null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"), F.col("node").alias("_node"), "kept")
+    marks = marks.groupBy(key).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    marks = written(marks.where("not kept or n > 1"), "marks")
+    marked, again = _narrow(marks.select(key), marks.count()), marks.where("kept")
+    here = named.where(F.col(text).isNotNull())
+    stay = named.where(F.col(text).isNull()).unionByName(here.join(marked, key, "left_anti").select(named.columns))
+    one = here.join(_narrow(again.select(key), again.count()), key, "left_semi").dropDuplicates(key).select(named.columns)
+    return stay.unionByName(one).select(docs.columns)

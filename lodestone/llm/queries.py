@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import best_fit_packing as packing
 from . import language_id as language
-from . import katz, media_avi, near_dedup, pii, sharding, token_matrix
+from . import katz, media_avi, near_dedup, piece_transducer, pii, sharding, token_matrix
 from . import quality_rules as quality
 
 
@@ -83,6 +83,17 @@ def op7_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
 
 
+def op8_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and, decoded from them, the CRC of its text again."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = piece_transducer.encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    out = piece_transducer.decode_pieces(encoded, path)
+    crc = lambda c: F.crc32(F.encode(c, "UTF-8"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", crc("decoded").alias("decoded_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.crc_bucket(F.col("doc_id"), 10) == 0)
     out, model = katz.katz_scores(docs)
@@ -102,7 +113,7 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_prob_minhash, op2_ring_shards, op3_avi_shots, op4_token_matrix, op5_complement_packing, op6_cross_parsing, op7_deobfuscated_pii, op9_katz_backoff, op10_ngram_ratio)
+        for f in (op1_prob_minhash, op2_ring_shards, op3_avi_shots, op4_token_matrix, op5_complement_packing, op6_cross_parsing, op7_deobfuscated_pii, op8_piece_transducer, op9_katz_backoff, op10_ngram_ratio)
     }
 
 
