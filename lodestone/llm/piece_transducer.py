@@ -78,11 +78,8 @@ class PieceTransducer:
         self.score = {p: s for p, s, k in pieces if k == NORMAL}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses from another character to a mark")
-        # the lexicon read backwards: the lengths of pieces by their last character, longest first
-        ends: dict[str, set[int]] = {}
-        for p in self.ids:
-            ends.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {c: sorted(n, reverse=True) for c, n in ends.items()}
+        # the states of the lexicon's trie: all beginnings of pieces
+        self.trie = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
 
@@ -128,22 +125,23 @@ class PieceTransducer:
 
     def path(self, chunk: str) -> list[str]:
         """The least path through a chunk, as pieces and single characters."""
-        n = len(chunk)
-        cost, last = [0.0] + [np.inf] * n, [""] * (n + 1)
-        for end in range(1, n + 1):
-            for size in self.lengths.get(chunk[end - 1], ()):
-                start = end - size
-                if start < 0 or cost[start] == np.inf or (piece := chunk[start:end]) not in self.ids:
+        n, none = len(chunk), np.inf
+        cost, last = [0.0] + [none] * n, [""] * (n + 1)
+        trie, ids, merged = self.trie, self.ids, self.kind == BPE
+        for start in range(n):
+            before = last[start]
+            for end in range(start + 1, n + 1):
+                if (piece := chunk[start:end]) not in trie:
+                    break
+                if piece not in ids:
                     continue
-                if self.kind == BPE:
-                    if self.neighbours(last[start], piece):
+                if merged:
+                    if cost[end] == none and self.neighbours(before, piece):
                         cost[end], last[end] = 0.0, piece
-                        break
                 elif (total := cost[start] - self.score[piece]) < cost[end]:
                     cost[end], last[end] = total, piece
-            c = chunk[end - 1]
-            if cost[end] == np.inf and c not in self.ids:
-                cost[end], last[end] = cost[end - 1] + UNKNOWN_COST, c
+            if cost[start + 1] == none:  # no piece ends here: the character's bytes
+                cost[start + 1], last[start + 1] = cost[start] + UNKNOWN_COST, chunk[start]
         out, at = [], n
         while at:
             out.append(last[at])
