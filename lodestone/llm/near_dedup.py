@@ -12,10 +12,11 @@ candidates. Candidates are verified by the exact Jaccard of their shingle
 sets, and classes are the connected components of the verified pairs.
 
 No pairs are emitted within a bucket: every member is compared with the
-bucket's hub, the member that shares most with others. Where a bucket's
-members then lie in more than one component, those outside of the hub's
-component are compared with all members of other components, so no candidate
-link between components is lost. Equal texts are one node from the start.
+bucket's hub, the member that shares most with others. Members that then lie
+outside of the hub's component are a query set against all members of that
+component and against each other, in blocks of ``BLOCK``: a task compares two
+blocks and gives only the links it finds, so no candidate link between
+components is lost. Equal texts are one node from the start.
 
 Nodes are 64-bit hashes of texts: two different texts among n have the same
 with a probability of n * n / 2^65.
@@ -36,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_words import flat_words, mix, slices, word_hashes
+from .arrow_words import flat_words, mix, ranges, slices, word_hashes
 from .storage import written
 
 SHINGLE = 5
 BANDS, ROWS = 50, 7
 BROADCAST_ROWS = 1_000_000
-HUB_PART = 256
+HUB_PART = BLOCK = 256
 _LOW48 = np.uint64((1 << 48) - 1)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,6 +131,12 @@ def _narrow(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes."""
+    own = texts.join(_narrow(nodes, nodes.count()), "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>")
+    return written(own.dropDuplicates(["node"]), "sets")
+
+
 def verified(texts: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have a Jaccard of ``threshold`` at least.
 
@@ -137,10 +144,7 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFra
     ``HUB_PART`` of them, so no task gets all pairs of a hub.
     """
     pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    n = nodes.count()
-    own = texts.join(_narrow(nodes, n), "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>")
-    sets = written(own.dropDuplicates(["node"]), "sets")
+    sets = shingle_sets(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PART).cast("int").alias("parts"))
     dealt = pairs.join(hubs, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     right = hubs.join(sets.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("right"))
@@ -153,6 +157,50 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFra
     return both.where(close).select("a", "b")
 
 
+def _block_links(p: int, q: int):
+    """Links between the nodes of two blocks that have different labels."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = right.column("shingles").combine_chunks()
+        flat, size = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy())
+        order = np.argsort(flat, kind="stable")
+        ordered, owner = flat[order], np.repeat(np.arange(len(size)), size)[order]
+        node, label = right.column("node").to_numpy(), right.column("label").to_numpy()
+        found_a, found_b = [], []
+        for x in left.to_pylist():
+            own = np.asarray(x["shingles"], np.int64)
+            first = np.searchsorted(ordered, own)
+            shared = np.bincount(owner[ranges(first, np.searchsorted(ordered, own, side="right") - first)], minlength=len(size))
+            close = (shared * (p + q) >= p * (size + len(own))) & (label != x["label"])
+            found_b += node[close].tolist()
+            found_a += [x["node"]] * int(close.sum())
+        return pa.table([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def outside_links(texts: DataFrame, outside: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links (a, b) of ``outside`` (node, label, home) with all members of their homes, and with each other."""
+    homes = outside.select("home").distinct()
+    members = labels.join(homes, labels["label"] == homes["home"]).select("node", "label", "home")
+    alone = homes.select(F.col("home").alias("node"), F.col("home").alias("label"), "home")  # a hub without links
+    targets = written(members.unionByName(alone).unionByName(outside).distinct(), "targets")
+    sets = shingle_sets(texts, targets.select("node").distinct())
+    blocks = lambda df, name: df.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = written(blocks(outside, "nx").join(blocks(targets, "ny"), "home"), "sizes")
+
+    def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        """Every row in its own block, once for each block of the other side."""
+        df = df.join(sizes, "home").withColumn(own, F.pmod(F.xxhash64("node"), F.col(own_n)).cast("int"))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+        return df.select("home", "x", "y", "node", "label").join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select(*(F.col(c).alias(c) for c in ("home", "x", "y", "node", "label", "shingles")))
+
+    left, right = dealt(outside, "x", "nx", "y", "ny"), dealt(targets, "y", "ny", "x", "nx")
+    key = ["home", "x", "y"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_links(threshold.numerator, threshold.denominator), "a long, b long")
+    return written(found.distinct(), "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the least node of its component.
 
@@ -187,33 +235,35 @@ def near_duplicate_nodes(texts: DataFrame, threshold: Fraction, bands: int, rows
     edges = written(verified(texts, pairs, threshold), "verified")
     labels = components(edges)
 
-    # members outside of the hub's component against all members of other components
-    placed = members.join(labels, "node", "left").select("band", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+    placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     homes = hubs.join(labels, hubs["b"] == labels["node"], "left").select("band", F.coalesce("label", "b").alias("home"))
-    outside = written(placed.join(homes, "band").where("label <> home").drop("home"), "outside")
-    left = outside.select("band", F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("label").alias("lx"))
-    more = placed.join(left, "band").where("label <> lx").where(near(F.col("n_shingles"), F.col("nx")))
-    more = more.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(texts, more.join(tested, ["a", "b"], "left_anti"), threshold)
-    more = written(more, "verified")
-    return components(edges.union(more)) if more.limit(1).count() else labels
+    outside = written(placed.join(homes, "band").where("label <> home").select("node", "label", "home").distinct(), "outside")
+    if not outside.limit(1).count():
+        return labels
+    more = outside_links(texts, outside, labels, threshold)
+    return components(edges.unionByName(more)) if more.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, node, class_id (the least doc_id of the class) and kept."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text"))
     docs = docs.withColumn("node", F.when(F.col("text").isNotNull(), F.col("node")))
-    ids = written(docs.select("doc_id", "node"), "ids")
+    ids = written(docs.select("doc_id", "node", F.monotonically_increasing_id().alias("row")), "ids")
     labels = near_duplicate_nodes(docs.select("node", "text"), Fraction(str(threshold)), bands, rows)
-    counted = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
+    counted = ids.where("node is not null").groupBy("node").agg(first.alias("first"), F.count("*").alias("n"))
     counted = counted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = counted.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    named = written(counted.join(classes, "label").select("node", "class_id", "class_size"), "classes")
-    out = ids.join(named, "node", "left").withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
-    alone = F.coalesce(F.col("class_size"), F.lit(1)) == 1
-    out = out.select("doc_id", "node", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
-    return out
+    classes = counted.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
+    named = counted.select("node", "label").join(classes, "label").select("node", "first", "class_size")
+    out = ids.join(written(named, "classes"), "node", "left")
+    alone = F.col("node").isNull()
+    return out.select(
+        "doc_id",
+        "node",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        (alone | (F.col("row") == F.col("first.row"))).alias("kept"),
+    )
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
