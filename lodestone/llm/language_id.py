@@ -32,6 +32,7 @@ from .arrow_words import add_columns
 
 BLOCK = 1024
 TOTAL_CHARS = 1_000_000
+SLICE = 3 << 19  # bytes of texts that are parsed at a time
 UNKNOWN = "und"
 
 
@@ -186,4 +187,4 @@ def identify_language(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_i
         names = np.where(known, np.asarray(parser.languages, object)[best], UNKNOWN)
         return [pa.array(list(names), pa.string()), pa.array(np.clip(lead, 0, 1))]
 
-    return add_columns(docs, text, "lang_pred string, score double", make)
+    return add_columns(docs, text, "lang_pred string, score double", make, SLICE)

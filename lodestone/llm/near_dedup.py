@@ -44,6 +44,7 @@ SHINGLE = 5
 BANDS, ROWS = 50, 7
 BROADCAST_ROWS = 1_000_000
 HUB_PART = BLOCK = 256
+SLICE, LEAST = 3 << 19, 1024  # bytes of texts that are signed at a time, and of a text at least
 _LOW48 = np.uint64((1 << 48) - 1)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,7 +106,7 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signed(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE, LEAST):
             doc, element, n = shingles(batch.column("text"))
             has, count = np.unique(doc, return_counts=True)
             if not len(has):
@@ -119,7 +120,7 @@ def _signed(bands: int, rows: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE, LEAST):
         doc, element, _ = shingles(batch.column("text"))
         bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(element.view(np.int64)))
