@@ -188,7 +188,7 @@ def layout(nodes: list[str], edges: list[tuple[str, str, float]], seed: int = 7)
     return {x: (float(a), float(b)) for x, (a, b) in zip(nodes, at, strict=True)}
 
 
-def couplings(edges: DataFrame, group: str, ladder: tuple[float, ...] = (0.6, 0.8, 1.0, 1.25, 1.6), nearest: int = 8) -> DataFrame:
+def couplings(edges: DataFrame, group: str, ladder: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0), nearest: int = 8) -> DataFrame:
     """Nodes that hold communities together: how often their community splits once they are taken out.
 
     For each community, its nodes with most links to other parts of it are
