@@ -175,8 +175,10 @@ class Block:
 
 def part_slices(keys: np.ndarray, part_bits: int) -> Iterator[tuple[int, int, int]]:
     """(part, start, end) of sorted keys: parts go by the first bits."""
+    if not len(keys):
+        return
     part = (keys >> np.uint64(BITS - part_bits)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     for s, e in zip(starts, [*starts[1:], len(part)], strict=True):
         yield int(part[s]), int(s), int(e)
 
