@@ -42,7 +42,7 @@ from .arrow_words import flat_words, mix, slices, word_hashes
 from .storage import written
 
 LARGEST, FLOOR = 5, 0.01
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 PART_TOKENS = 2_000_000
 BITS = 56
 _M = np.uint64(0x9E3779B97F4A7C15)
