@@ -29,7 +29,7 @@ from .arrow_words import add_columns
 WIDTH, HEIGHT, FPS, UNIT = 64, 16, 25, 64
 FRAME = WIDTH * HEIGHT
 BINS, TRAIL, SPREADS, LEAST = 16, 8, 2.0, 0.08
-SLICE = 3 << 20
+SLICE = 1 << 20
 
 # Lengths of the Huffman codes of the difference classes 0 to 8. The code of ones alone stays free, as JPEG asks.
 CODE_LENGTHS = {0: 3, 2: 3, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 1: 4, 8: 5}
