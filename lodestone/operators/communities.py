@@ -217,6 +217,36 @@ def couplings(edges: DataFrame, group: str, ladder: tuple[float, ...] = (0.2, 0.
     return edges.groupBy(group).applyInPandas(run, f"{group} string, community string, node string, split_probability double, baseline double, strength double")
 
 
+def facade_split(edges: DataFrame, group: str, percentile: float = 99.0) -> DataFrame:
+    """Edges in which each node of very high degree that couples communities is one facade for each of them.
+
+    Such a node is joined to hundreds of others and glues their communities;
+    a facade ``node@community`` keeps its edges into one of them.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph = adjacency(list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None)))
+        degree = pd.Series({n: sum(near.values()) for n, near in graph.items()})
+        large = set(degree[degree >= degree.quantile(percentile / 100)].index)
+        rest = {n: {m: w for m, w in near.items() if m not in large} for n, near in graph.items() if n not in large}
+        part = partition(rest) if rest else {}
+        split = {n for n in large if len({part[m] for m in graph[n] if m in part}) > 1}
+        facade = lambda n, other: f"{n}@{part[other]}" if n in split and other in part else n
+        out = pdf.copy()
+        out["a"], out["b"] = [facade(a, b) for a, b in zip(pdf.a, pdf.b, strict=True)], [facade(b, a) for a, b in zip(pdf.a, pdf.b, strict=True)]
+        return out[[group, "a", "b", "weight"]]
+
+    return edges.groupBy(group).applyInPandas(run, f"{group} string, a string, b string, weight double")
+
+
+def community_of_symbol(members: DataFrame, symbol: str) -> DataFrame:
+    """The community of a symbol: an exact member, else one whose short name it is, else one that holds it."""
+    from lodestone.functions.names import short_symbol
+
+    rank = F.when(F.col("member") == symbol, 0).when(short_symbol(F.col("member")) == symbol, 1).when(F.contains("member", F.lit(symbol)), 2)
+    return members.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", "community", "member").limit(1).drop("_rank")
+
+
 def naming_prompts(named: DataFrame, directories: DataFrame, group: str) -> DataFrame:
     """(id, prompt) for a naming port: members and main directories of each community."""
     dirs = directories.groupBy(group, "community").agg(F.concat_ws(", ", F.sort_array(F.collect_list("directory"))).alias("dirs"))

@@ -47,7 +47,7 @@ def knn_scan(chunks: DataFrame, vectors: DataFrame, query: list[float], limit: i
     return ranked(chunks.join(scored, "id"), limit)
 
 
-def lsh_candidates(vectors: DataFrame, query: list[float], tables: int = 8, bits: int = 8, seed: int = 7) -> DataFrame:
+def lsh_candidates(vectors: DataFrame, query: list[float], tables: int = 24, bits: int = 4, seed: int = 7) -> DataFrame:
     """Approximate leg: vectors that share a random-hyperplane bucket with the query in one of the tables at least."""
     import numpy as np
 
@@ -64,6 +64,12 @@ def lsh_candidates(vectors: DataFrame, query: list[float], tables: int = 8, bits
     return vectors.where(reduce(lambda x, y: x | y, hits))
 
 
+def knn_two_stage(chunks: DataFrame, vectors: DataFrame, query: list[float], limit: int = 10, **lsh) -> DataFrame:
+    """Top-k of the approximate candidates; the exact scan where filters leave fewer than ``limit`` of them."""
+    found = knn_scan(chunks, lsh_candidates(vectors, query, **lsh), query, limit)
+    return found if found.count() >= limit else knn_scan(chunks, vectors, query, limit)
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -191,6 +197,24 @@ def hash_scorer(query: str, text: Column) -> Column:
     return F.pmod(F.crc32(F.encode(F.concat(F.lit(query), text), "UTF-8")), F.lit(10000)) / 10000.0
 
 
+def rerank_listed(results: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]], limit: int) -> DataFrame:
+    """Rerank by a port that scores the already limited rows as one list; a wrong number or an error leaves the scores."""
+    rows = results.orderBy(F.desc("score"), "id").select("id", "symbol_name", "node_type", "content").collect()
+    try:
+        scores = scorer(query, [f"{r.symbol_name or ''} [{r.node_type}] {r.content}" for r in rows])
+    except Exception:
+        scores = []
+    if len(scores) != len(rows) or not rows:
+        return ranked(results, limit)
+    new = results.sparkSession.createDataFrame([(r.id, float(s)) for r, s in zip(rows, scores, strict=True)], "id string, _score double")
+    return ranked(results.join(F.broadcast(new), "id").withColumn("score", F.col("_score")).drop("_score"), limit)
+
+
+def pre_floor(results: DataFrame, hybrid_scores: bool) -> DataFrame:
+    """Before reranking, cosine scores below the floor go; fused ones are no such scores and stay."""
+    return results if hybrid_scores else results.where(F.col("score") >= FLOOR)
+
+
 def search(
     chunks: DataFrame,
     vectors: DataFrame,

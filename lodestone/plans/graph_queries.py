@@ -362,3 +362,21 @@ def naming(spark, sf_dir):
     named = cm.clusters(members, "repository_id", "cluster")
     dirs = fg.directory_counts(members.withColumn("community", F.col("community")), "community", "member").withColumn("repository_id", F.lit("r1"))
     return cm.naming_prompts(named, dirs, "repository_id")
+
+
+@query("ns_communities")
+def ns_communities(spark, sf_dir):
+    names = view(spark, sf_dir, "repositories").select(F.col("id").alias("repository_id"), "namespace")
+    edges = fg.undirected_symbols(refs(spark, sf_dir)).join(F.broadcast(names), "repository_id").groupBy("namespace", "a", "b").agg(F.sum("weight").alias("weight"))
+    return cm.clusters(cm.detect(edges, "namespace"), "namespace", "community").withColumn("members", F.array_join("members", ","))
+
+
+@query("community_of_symbol", sql("SELECT DISTINCT callee_symbol AS member, split_part(callee_symbol, '.', 1) AS community FROM refs WHERE callee_symbol = 'pkg6.C20#m20'", "refs"))
+def community_of_symbol(spark, sf_dir):
+    members = refs(spark, sf_dir).select(F.col("callee_symbol").alias("member"), F.substring_index("callee_symbol", ".", 1).alias("community")).distinct()
+    return cm.community_of_symbol(members, "m20")
+
+
+@query("facade_split")
+def facade_split(spark, sf_dir):
+    return cm.detect(cm.facade_split(_undirected(_grouped(spark, sf_dir)[0]), "repository_id"), "repository_id")

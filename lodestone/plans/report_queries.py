@@ -187,7 +187,7 @@ _upsert("upsert_chunks", "chunks", "id", "content", "concat(content, '!')")
 _upsert("upsert_refs", "refs", "id", "language", "concat(language, '2')")
 _upsert("upsert_endpoints", "endpoints", "id", "channel_raw", "concat(channel_raw, '!')")
 _upsert("upsert_hashes", "chunks", "file_path", "symbol_name", "'x'")
-_upsert("upsert_repos", "repositories", "id", "name", "upper(name)")
+_upsert("repos", "repositories", "id", "name", "upper(name)")
 
 
 @query("del_cascade", sql("SELECT v.chunk_id FROM vectors v WHERE v.chunk_id NOT IN (SELECT id FROM chunks WHERE repository_id = 'src1' OR file_path LIKE 'src2/tests/%')", "chunks", "vectors"))

@@ -46,12 +46,11 @@ def min_score(spark, sf_dir):
     return r.knn_scan(chunks, vectors, _target(vectors), min_score=0.2).select(*SHOWN)
 
 
-@query("knn_lsh")
-def knn_lsh(spark, sf_dir):
-    """The approximate leg that stands where the reference has an index; knn_scan is the exact one."""
+@query("knn_hnsw")
+def knn_hnsw(spark, sf_dir):
+    """Approximate candidates, then exact scores; knn_scan is the exact form. tests/test_retrieval.py measures recall."""
     chunks, vectors = _tables(spark, sf_dir)
-    target = _target(vectors)
-    return r.knn_scan(chunks, r.lsh_candidates(vectors, target), target).select(*SHOWN)
+    return r.knn_two_stage(chunks, vectors, _target(vectors)).select(*SHOWN)
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -190,3 +189,35 @@ def embed_mock(spark, sf_dir):
     from lodestone.operators.embedding import hashed_embedding
 
     return view(spark, sf_dir, "chunks").select("id", hashed_embedding(F.col("content"), 16).alias("vector"))
+
+
+@query("embed")
+def embed(spark, sf_dir):
+    from lodestone.operators.embedding import embed as run
+    from lodestone.operators.embedding import hashed_embedding
+
+    return run(view(spark, sf_dir, "chunks"), lambda c: hashed_embedding(c, 8), "hashed-8")
+
+
+@query("count", "SELECT count(*) AS n FROM embeddings")
+def count(spark, sf_dir):
+    return view(spark, sf_dir, "vectors").agg(F.count("*").alias("n"))
+
+
+@query("pre_floor", sql(f"SELECT id, score FROM {_knn(50)} WHERE score >= 0.1", "chunks", "vectors"))
+def pre_floor(spark, sf_dir):
+    chunks, vectors = _tables(spark, sf_dir)
+    return r.pre_floor(r.knn_scan(chunks, vectors, _target(vectors), 50), False).select(*SHOWN)
+
+
+@query("rerank_llm", sql(f"SELECT id, CAST(length(content) AS DOUBLE) AS score FROM {_knn(10)} JOIN (SELECT id, content FROM chunks) USING (id)", "chunks", "vectors"))
+def rerank_llm(spark, sf_dir):
+    """A port that scores a list; this one goes by length."""
+    chunks, vectors = _tables(spark, sf_dir)
+    found = r.knn_scan(chunks, vectors, _target(vectors))
+    return r.rerank_listed(found, TEXT, lambda _, texts: [len(t.split("] ", 1)[1]) for t in texts], 10).select(*SHOWN)
+
+
+@query("rerank_mock")
+def rerank_mock(spark, sf_dir):
+    return rerank(spark, sf_dir)
