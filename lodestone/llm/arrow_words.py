@@ -66,6 +66,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (ends - lengths), lengths)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, longer by underscores until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def add_columns(df, text: str, fields: str, make, limit: int = SLICE_BYTES, least: int = 128):
     """``df`` with the columns of the DDL ``fields`` that ``make(texts)`` returns, in that order.
 
@@ -74,9 +82,9 @@ def add_columns(df, text: str, fields: str, make, limit: int = SLICE_BYTES, leas
     from pyspark.sql.types import StructType
 
     new = StructType.fromDDL(fields)
-    kept = [c for c in df.columns if c not in new.names]
-    source = df.select(*kept, df[text].alias("_source")) if text in new.names else df.select(*kept)
-    column = "_source" if text in new.names else text
+    kept = [c for c in df.columns if c.lower() not in new.names]
+    column = fresh("_source", df.columns) if text.lower() in new.names else text
+    source = df.select(*kept, df[text].alias(column)) if column != text else df.select(*kept)
     schema = StructType([*(f for f in source.schema if f.name in kept), *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,11 +216,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str, text: str, c
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
-    pieces = written(token_pieces(docs, tokenizer_path, doc_id, text, capacity, end_id), "pieces")
+    # repeated rows spread too, by where they stand; written, so it is the same for all that reads it
+    spread = F.xxhash64("doc_id", "piece").bitwiseXOR(F.monotonically_increasing_id())
+    pieces = written(token_pieces(docs, tokenizer_path, doc_id, text, capacity, end_id).withColumn("spread", spread), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     shared = docs.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
-    order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-    ranked = dense_positions(pieces, "length", order, F.xxhash64("doc_id", "piece") + F.spark_partition_id(), SALTS, "rank")
+    order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32", "spread")]
+    ranked = dense_positions(pieces, "length", order, F.col("spread"), SALTS, "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, fields = shared.value

@@ -106,7 +106,7 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.quality_rules(_table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    out = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), trusted(spark, sf_dir))
     return out.select("doc_id", *quality.MEASURES, "ratio", "kept")
 
 

@@ -95,16 +95,18 @@ def consistent_hash_shards(df: DataFrame, key: str, shards: int, vnodes: int = 1
         F.lit(0),
         lambda at, step: at + F.when((at + step <= len(points)) & (F.get(ring, at + step - 1) < F.col("_position")), step).otherwise(0),
     )
-    kept = [c for c in df.columns if c not in ADDED]
-    placed = df.select(*kept, position.alias("_position")).withColumn("_arc", F.pmod(below, F.lit(len(points))))
-    placed = written(placed, "ring")
+    kept = [c for c in df.columns if c.lower() not in ADDED]
+    # the row travels as one column, so no name in it meets those that are made here
+    spread = F.xxhash64(*(F.col(c) for c in kept if not dict(df.dtypes)[c].startswith("map")))
+    # repeated rows spread too, by where they stand; written, so it is the same for all that reads it
+    spread = spread.bitwiseXOR(F.monotonically_increasing_id())
+    placed = df.select(F.struct(*kept).alias("_row"), position.alias("_position"), spread.alias("_spread"))
+    placed = written(placed.withColumn("_arc", F.pmod(below, F.lit(len(points)))), "ring")
     counts = {r[0]: r[1] for r in placed.groupBy("_arc").count().collect()}
     taken = walk(points, counts, capacities(sum(counts.values()), shards, slack))
     rows = [(*t, points[t[0]][1]) for t in taken]
     plan = spark.createDataFrame(rows, "_arc int, _first long, _end long, shard int, _slot long, hops int, home_shard int")
-    order = [F.col("_position"), *(F.col(c) for c in kept if dict(df.dtypes)[c] != "map")]
-    spread = F.xxhash64(*(F.col(c) for c in kept)) + F.spark_partition_id()
-    ranked = dense_positions(placed, "_arc", order, spread, SALTS, "_at")
+    ranked = dense_positions(placed, "_arc", [F.col("_position"), F.col("_spread")], F.col("_spread"), SALTS, "_at")
     here = (ranked["_arc"] == plan["_arc"]) & (F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col("_end"))
     out = ranked.join(F.broadcast(plan), here)
-    return out.select(*kept, "shard", (F.col("_slot") + F.col("_at") - F.col("_first")).alias("slot"), "home_shard", "hops")
+    return out.select(*(F.col("_row")[c].alias(c) for c in kept), "shard", (F.col("_slot") + F.col("_at") - F.col("_first")).alias("slot"), "home_shard", "hops")

@@ -78,7 +78,7 @@ def hard_texts():
 
 def test_measures_equal_brute_force(spark):
     texts = hard_texts()
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kept", F.lit("mine"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'mine' AS Kept", "1 AS _words", "2 AS _h1")
     trusted = spark.createDataFrame([(0,), (None,), (5,), (5,)], "doc_id long")
     got = {r.doc_id: tuple(r[m] for m in qr.MEASURES) for r in qr.quality_rules(df, trusted).collect()}
     assert got == {i: brute_measures(t) for i, t in enumerate(texts)}

@@ -7,7 +7,7 @@ from lodestone.llm import sharding as sh
 
 
 def test_balanced_and_gapless(spark):
-    df = table(spark).withColumn("hops", F.lit("mine")).withColumn("_arcs", F.lit(None).cast("int"))
+    df = table(spark).selectExpr("*", "'mine' AS HOPS", "1 AS _arc", "2 AS _part", "map(1, 2) AS _row")
     out = sh.consistent_hash_shards(df, "doc_id", 8).collect()
     assert Counter(r.text for r in out) == Counter(t for _, t in rows())
     sizes = Counter(r.shard for r in out)
