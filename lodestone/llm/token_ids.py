@@ -8,6 +8,7 @@ encodes a word once and keeps up to ``CACHE_WORDS`` of them.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +20,10 @@ CACHE_WORDS = 600_000
 BATCH = 20_000
 
 
+# letters that have one lower case each, then signs that are neither letters, digits nor part of a contraction
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,16 +33,30 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = words
-        for k in range(0, len(new), BATCH):
-            some = new[k : k + BATCH]
+    def _encode(self, words: list[str]) -> None:
+        for k in range(0, len(words), BATCH):
+            some = words[k : k + BATCH]
             for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[word] = np.asarray(got.ids, np.uint32).tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Letters and what follows them are encoded apart, as the tokenizer's patterns do, and letters in lower case only."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = words
+        parts, whole = {}, []
+        for w in new:
+            if m := _LETTERS.fullmatch(w):
+                parts[w] = (m[1].lower(), m[2])
+            else:
+                whole.append(w)
+        cores = dict.fromkeys(x for pair in parts.values() for x in pair if x and x not in known)
+        self._encode([*whole, *cores])
+        for w, (letters, rest) in parts.items():
+            known[w] = known[letters] + known[rest] if rest else known[letters]
+
     def ids(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end`` if given; their bounds)."""
         codes, words, bounds = flat_words(texts)
