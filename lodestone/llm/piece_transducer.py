@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from .arrow_words import add_columns
 
 MARK = "▁"
-CACHE, PAIRS = 500_000, 1_000_000
+CACHE, PAIRS = 600_000, 1_000_000
 UNKNOWN_COST = 100.0  # of a character's bytes in unigram models, above any piece
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # Fixed values: kinds of pieces in the model file
 UNIGRAM, BPE = 1, 2  # Fixed values: kinds of models
@@ -81,7 +81,8 @@ class PieceTransducer:
         # the states of the lexicon's trie: all beginnings of pieces
         self.trie = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # chunks met since the last turn, and those met before it
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> PieceTransducer:
@@ -167,11 +168,13 @@ class PieceTransducer:
         for chunk in _CHUNK.findall(text):
             ids = known.get(chunk)
             if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
+                if (ids := self.older.get(chunk)) is None:
+                    ids = self.chunk_ids(chunk)
                 # a chunk that is long enough to be no word isn't worth its room
-                ids = self.chunk_ids(chunk)
                 if len(chunk) <= 64:
+                    if 2 * len(known) >= CACHE:
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[chunk] = ids
             parts.append(ids)
         return np.frombuffer(b"".join(parts), "<i4")
