@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import best_fit_packing, language_id, near_dedup, pii
 from lodestone.llm import quality_rules as rules
-from lodestone.llm.queries import trusted, word_bpe
+from lodestone.llm.queries import TRUSTED_LOSS, trusted, word_bpe
 from lodestone.llm.storage import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the n-gram ratio go."""
-    return rules.quality_rules(docs, trusted(spark, sf_dir)).where("kept").select(docs.columns)
+    return rules.quality_rules(docs, trusted(spark, sf_dir), group="lang", loss=TRUSTED_LOSS).where("kept").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

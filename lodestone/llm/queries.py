@@ -17,6 +17,9 @@ from . import katz, media_avi, near_dedup, piece_transducer, pii, sharding, toke
 from . import quality_rules as quality
 
 
+TRUSTED_LOSS = 0.01  # of the trusted documents of a language, below its cut
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,7 +109,7 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), trusted(spark, sf_dir))
+    out = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), trusted(spark, sf_dir), group="lang", loss=TRUSTED_LOSS)
     return out.select("doc_id", *quality.MEASURES, "ratio", "kept")
 
 

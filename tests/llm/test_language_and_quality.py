@@ -109,3 +109,66 @@ def test_quality_without_rows_or_trust(spark):
     assert qr.quality_rules(empty(spark), none).count() == 0
     out = qr.quality_rules(table(spark), none).where("kept").collect()
     assert all(r.ratio == 0 and not r.base_failed for r in out) and out
+
+
+def labelled_languages(path, spark):
+    """300 clean documents of each of two languages, of which en has 150 trusted ones and de 60; 20 of junk in each."""
+    rng, docs, good = random.Random(8), [], []
+    for lang, n in (("en", 150), ("de", 60)):
+        vocabulary = [f"{lang}{i}" for i in range(60)]
+        for k in range(300):
+            docs.append((len(docs), " ".join(rng.choice(vocabulary) for _ in range(60)), lang))
+            good += [docs[-1][0]] * (k < n)
+        docs += [(len(docs) + k, " ".join(f"junk{rng.randrange(400)}" for _ in range(60)), lang) for k in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return docs, set(good)
+
+
+def test_clean_documents_of_an_under_labelled_language_are_kept(spark, tmp_path):
+    import corpus_pipeline
+
+    from lodestone.llm.queries import op10_ngram_ratio
+
+    docs, good = labelled_languages(tmp_path, spark)
+    kept = {r.doc_id for r in op10_ngram_ratio(spark, str(tmp_path)).where("kept").collect()}
+    for lang in ("en", "de"):
+        clean = [i for i, t, x in docs if x == lang and i not in good and "junk" not in t]
+        junk = [i for i, t, x in docs if x == lang and "junk" in t]
+        assert len(kept & set(clean)) >= 0.9 * len(clean) and not kept & set(junk), lang
+    stage = corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in stage.collect()} == kept
+
+
+def test_trusted_documents_are_left_out_of_their_own_counts(spark):
+    import math
+    import re
+
+    texts, buckets = hard_texts(), 64
+    h = lambda w: xxhash.xxh64(w.encode(), seed=42).intdigest()
+    micro = lambda x: int(math.floor(1e6 * math.log(x) + 0.5))
+
+    def grams(t):
+        one = [h(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        return [x % buckets for x in one] + [((a << 1) & (2**64 - 1) ^ b) % buckets for a, b in zip(one, one[1:])]
+
+    trusted, want, lows = {0, 5, 7, 8, 9, 11, 12, 15}, {}, {}
+    for g in (0, 1):
+        own = [i for i in range(len(texts)) if i % 2 == g]
+        raw = Counter(b for i in own for b in grams(texts[i]))
+        good = Counter(b for i in own if i in trusted for b in grams(texts[i]))
+        p = [(raw[b] + 1) / (raw.total() + buckets) for b in range(buckets)]
+        base = [round(1e6 * math.log(x)) for x in p]
+        for i in own:
+            mine = Counter(grams(texts[i]))
+            n = mine.total()
+            if i in trusted:
+                total = sum(c * (micro(good[b] - c + buckets * p[b]) - base[b]) for b, c in mine.items()) - n * micro(good.total() - n + buckets)
+            else:
+                total = sum(c * (round(1e6 * (math.log(good[b] + buckets * p[b]) - math.log(good.total() + buckets))) - base[b]) for b, c in mine.items())
+            want[i] = total // n if n else 0
+        lows[g] = min(want[i] for i in own if i in trusted and brute_measures(texts[i])[0] >= 20)
+    df = spark.createDataFrame([(i, t, str(i % 2)) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    out = qr.quality_rules(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), buckets=buckets, group="lang", loss=0.0).collect()
+    assert {r.doc_id: r.ratio for r in out} == want
+    assert all(r.kept == (not r.base_failed and r.ratio >= lows[r.doc_id % 2]) for r in out)
