@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
 A text's shingles are its runs of five words (a text of fewer words is one
-shingle; a text without words has none), weighted by 1 + ln(occurrences). Each
-shingle sends arrivals of a Poisson process whose rate is its weight; every
-arrival falls on a random register, which keeps the shingle that came first.
-Two registers agree with the probability Jaccard of the weighted sets. A
+shingle; a text without words has none), each of weight 1. Each shingle sends
+arrivals of a Poisson process whose rate is its weight; every arrival falls on
+a random register, which keeps the shingle that came first. Two registers agree
+with the probability Jaccard of the weighted sets, which for weights of 1 is
+the Jaccard that links are verified by, so repetition costs no candidate. A
 shingle stops as soon as its next arrival is later than all registers.
 
 Registers are banded (``bands`` x ``rows``); texts that share a band are
@@ -107,11 +108,11 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signed(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE, LEAST):
-            doc, element, n = shingles(batch.column("text"))
+            doc, element, _ = shingles(batch.column("text"))
             has, count = np.unique(doc, return_counts=True)
             if not len(has):
                 continue
-            sig = prob_minhash(np.searchsorted(has, doc), element, 1 + np.log(n), len(has), bands * rows)
+            sig = prob_minhash(np.searchsorted(has, doc), element, np.ones(len(element)), len(has), bands * rows)
             flat = pa.array(band_hashes(sig, bands, rows).ravel().view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), flat)
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(has)), pa.array(count, pa.int32()), lists], ["node", "n_shingles", "bands"])

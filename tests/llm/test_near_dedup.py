@@ -72,3 +72,16 @@ def test_signature_estimates_probability_jaccard():
     sig = nd.prob_minhash(doc, element, np.array([*a.values(), *b.values()], float), 2, 4096)
     exact = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in {*a, *b}) for i in {*a} & {*b})
     assert abs((sig[0] == sig[1]).mean() - exact) < 0.04
+
+
+def test_repetition_hides_no_pair(spark):
+    """Pairs with a Jaccard of 0.8 and more, of which one text repeats a part 50 times."""
+    rng, data = random.Random(6), []
+    for k in range(60):
+        base = [f"p{k}x{i}" for i in range(170)]
+        part = [f"q{k}x{rng.randrange(10**6)}" for _ in range(36)]
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + 50 * part))]
+    want, n = brute_force(data)
+    assert n == 60
+    got = nd.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == want
