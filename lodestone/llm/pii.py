@@ -151,8 +151,10 @@ _MAIL = re.compile(
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))",
     re.I,
 )
-_SPELLED = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})\b")
-_GATE_MAIL = ("at)", "at]", "at}", "at>", "@)", "@]", " dot ", "dot)", "dot]", "dot}", "dot>", "(.)", "[.]", "at )", "at ]", "dot )", "dot ]")
+# What a run must hold to be rewritten: a spelled digit, or "plus" before a digit.
+_SPELLED = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})\b|\bplus\s{{1,4}}[0-9]", re.I)
+# What every match of _MAIL holds: a bracketed sign or word, or a spelled "dot" (a spelled "at" needs a dot behind it).
+_GATE_MAIL = re.compile(r"[\[({<]\s{0,4}(?:at|@|dot|point|\.)\s{0,4}[\])}>]|\sdot\s", re.I)
 
 
 def _characters(text: str) -> Rewritten:
@@ -166,7 +168,7 @@ def _run_edits(m: re.Match) -> list[tuple[int, int, str]]:
         if kind == "plus":
             out.append((start, end, "+"))
         elif kind == "word":
-            out.append((start, end, str(DIGIT_WORDS.index(said.lower()))))
+            out.append((start, end, str(DIGIT_WORDS.index(said.casefold()))))
         elif kind == "dot":
             out.append((start, end, "."))
         elif kind == "gap" and 0 < i < len(tokens) - 1 and "word" in (tokens[i - 1][0], tokens[i + 1][0]):
@@ -174,14 +176,14 @@ def _run_edits(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
-def _phrases(text: str) -> Rewritten:
-    """The second transducer."""
-    low, edits = text.lower(), []
-    if _SPELLED.search(low):
+def _phrases(text: str, gated: bool = True) -> Rewritten:
+    """The second transducer. The gates only save time: without them the edits are the same."""
+    edits = []
+    if not gated or _SPELLED.search(text):
         for m in _RUN.finditer(text):
-            if _SPELLED.search(m[0].lower()):
+            if _SPELLED.search(m[0]):
                 edits += _run_edits(m)
-    if any(x in low for x in _GATE_MAIL):
+    if not gated or _GATE_MAIL.search(text):
         taken = sorted(edits)
         for m in _MAIL.finditer(text):
             i = bisect_right(taken, (m.start(), len(text), ""))

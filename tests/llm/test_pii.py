@@ -61,3 +61,19 @@ def test_operator(spark):
     assert pii.find_pii(empty(spark)).count() == 0
     one = pii.find_pii(spark.createDataFrame([("a@b.co +1 212 555 0100",)], "text string"), redact=True).first()
     assert (one.n_email, one.n_phone, one.redacted) == (1, 1, "[EMAIL] [PHONE]")
+
+
+def test_every_disguise_of_the_grammar_is_tried():
+    mails = ["jane{@}example.com", "jane ( @ ) example.com", "jane < at > example.com", "jane [  at  ] example.com", "jane@example{.}com", "jane@example (point) com", "jane at example\ndot\ncom", "jane\tat\texample\tdot\tcom"]
+    others = {"192{.}168{.}0{.}1": "ip", "10 [ . ] 1 [ . ] 2 [ . ] 3": "ip", "plus 1 212 555 0100": "phone", "one two ſix plus 1 212 555 0100": None}
+    for t, kind in [*((m, "email") for m in mails), *others.items()]:
+        spans = pii.all_spans(t, pii.base_spans(t))
+        assert kind is None or spans == [(kind, 0, len(t))], t
+
+
+def test_gates_change_nothing():
+    rng = random.Random(4)
+    parts = ["jane", "example", "com", "at", "AT", "dot", "Dot", "point", "plus", "one", "Two", "ſix", "7", "10", "192", "@", ".", "[", "]", "(", ")", "{", "}", "<", ">", " ", "  ", "\t", "\n", "-", "+"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 14)))
+        assert pii._phrases(t).edits == pii._phrases(t, gated=False).edits, t
