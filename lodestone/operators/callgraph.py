@@ -141,15 +141,22 @@ def chains(nodes: DataFrame) -> DataFrame:
             return out.select("leaf", "reference_id", "path")
 
 
-def all_routes(references: DataFrame, root: str, most: int = 8) -> DataFrame:
-    """Every distinct route of up to ``most`` callers that ends at the root and repeats no symbol."""
+def all_routes(references: DataFrame, root: str, most: int | None = None) -> DataFrame:
+    """Every distinct route of callers that ends at the root and repeats no symbol; of up to ``most`` callers, if given.
+
+    A route repeats no symbol, so a level without routes comes; their number can grow exponentially until then.
+    """
     pairs = references.where(F.col("reference_kind").isin(*IMPACT_KINDS)).where("caller_symbol is not null").select("caller_symbol", "callee_symbol").distinct()
+    pairs = written(pairs, "edges")
     routes = pairs.where(F.col("callee_symbol") == root).select("caller_symbol", F.array("caller_symbol", "callee_symbol").alias("route")).where("caller_symbol <> callee_symbol")
-    out = routes
-    for _ in range(most - 1):
+    out = routes = written(routes, "routes")
+    level = 1
+    while (most is None or level < most) and routes.limit(1).count():
         step = routes.withColumnRenamed("caller_symbol", "at").join(pairs, F.col("at") == F.col("callee_symbol"))
-        routes = step.where(~F.array_contains("route", F.col("caller_symbol"))).select("caller_symbol", F.concat(F.array("caller_symbol"), "route").alias("route"))
+        step = step.where(~F.array_contains("route", F.col("caller_symbol"))).select("caller_symbol", F.concat(F.array("caller_symbol"), "route").alias("route"))
+        routes = written(step, "routes")
         out = out.unionByName(routes)
+        level += 1
     return out.select("route")
 
 

@@ -83,3 +83,15 @@ def test_messaging_services(spark):
     got = {(r.protocol, r.channel, r.p_best.symbol, r.c_best.symbol) for r in ch.link(own).collect()}
     assert got == {("kafka", "orders.created", "checkout", "start"), ("http", "/api/orders/{}", "start", "get_order")}
     assert [r.id for r in ch.unmatched(own).collect()] == ["2"]
+
+
+def test_all_routes_of_any_length(spark):
+    pairs = [(f"s{i + 1}", f"s{i}") for i in range(12)] + [("s3", "s1"), ("s0", "s2"), ("s5", "s5"), ("x", "s10")]
+    want, todo = [], [("s0",)]
+    while todo:
+        todo = [(a, *route) for route in todo for a, b in pairs if b == route[0] and a not in route]
+        want += todo
+    refs = edges(spark, [(*p, "call") for p in pairs])
+    assert sorted(tuple(r.route) for r in cg.all_routes(refs, "s0").collect()) == sorted(want)
+    assert max(map(len, want)) == 13
+    assert sorted(tuple(r.route) for r in cg.all_routes(refs, "s0", 2).collect()) == sorted(w for w in want if len(w) <= 3)
