@@ -8,9 +8,15 @@ counts of its lengths allow. What finds no complement is packed best-fit
 decreasing, whole groups of equal sequences at a time. Pieces then take their
 places by their rank among the pieces of their length.
 
+The plan is broadcast. Each step of it uses up a length, or opens or closes a
+group, so its runs are bounded by the capacity, whatever the input:
+``RUNS`` times the capacity is asserted.
+
 Defined results: a null or empty text has the end token alone; a text is cut
-into pieces of ``capacity`` and its last piece may be shorter; repeated rows
-are packed each; an empty table gives no pieces.
+into pieces of ``capacity`` and its last piece may be shorter; a null id stays
+null; ids keep the type that they have; repeated rows are packed each; an empty
+table gives no pieces. Columns other than the id and the text aren't in the
+result, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_words import slices
-from .dense import dense_positions
+from .dense import dense_positions, part_counts
 from .storage import written
-from .token_ids import word_tokenizer
+from .token_ids import tokenizer_of
 
-SALTS = 16
+RUNS = 64
 Runs = tuple[tuple[int, int], ...]  # (length, times)
 
 
@@ -130,14 +136,20 @@ def exact_plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[i
     return out + best_fit(residual, capacity)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, Runs]]:
-    """(number of sequences, the lengths in each) for so many pieces of each length.
+def plans(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, Runs]]]:
+    """The plans with triples (3), with pairs (2) and with single complements (1) at most, by the sequences they need.
 
     Long combinations can use up short pieces that would have closed other
-    gaps, so the plans with triples, with pairs at most and with single
-    complements at most are all made; the one of fewest sequences is taken.
+    gaps, so shorter ones may need fewer sequences. Of equal plans that with
+    the longer combinations comes first.
     """
-    return min((exact_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(many for many, _ in p))
+    every = {most: exact_plan(counts, capacity, most) for most in (3, 2, 1)}
+    return dict(sorted(every.items(), key=lambda p: sum(many for many, _ in p[1])))
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, Runs]]:
+    """(number of sequences, the lengths in each) for so many pieces of each length: the first of ``plans``."""
+    return next(iter(plans(counts, capacity).values()))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Runs]]:
@@ -188,14 +200,14 @@ def places(planned: list[tuple[int, Runs]]) -> tuple[np.ndarray, np.ndarray]:
     return table[:, 0].copy(), table[:, 1:].copy()
 
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str, text: str, capacity: int, end_id: int) -> DataFrame:
     """The pieces of every text: doc_id, piece, start, length and the crc of its ids (little-endian, 32 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(tokenizer_path)
+        tokenizer = tokenizer_of(tokenizer_path)
         for batch in slices(batches, "text"):
             ids, bounds = tokenizer.ids(batch.column("text"), end_id)
             lengths = np.diff(bounds)
@@ -210,8 +222,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str, text: str, c
             columns = [batch.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, PIECE)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return own.mapInArrow(run, PIECE.format(own.schema["doc_id"].dataType.simpleString()))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -220,9 +232,12 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
     spread = F.xxhash64("doc_id", "piece").bitwiseXOR(F.monotonically_increasing_id())
     pieces = written(token_pieces(docs, tokenizer_path, doc_id, text, capacity, end_id).withColumn("spread", spread), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
+    placed = places(plan(counts, capacity))
+    if len(placed[0]) > RUNS * capacity:
+        raise AssertionError("the plan grows with the input")
+    shared = docs.sparkSession.sparkContext.broadcast(placed)
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32", "spread")]
-    ranked = dense_positions(pieces, "length", order, F.col("spread"), SALTS, "rank")
+    ranked = dense_positions(pieces, "length", order, F.col("spread"), part_counts(counts), "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, fields = shared.value
@@ -234,4 +249,4 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
             own = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"{PIECE}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, PIECE.format(pieces.schema["doc_id"].dataType.simpleString()) + ", sequence_id long, offset long")

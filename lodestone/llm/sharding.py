@@ -27,10 +27,9 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dense import dense_positions
+from .dense import dense_positions, part_counts
 from .storage import written
 
-SALTS = 16
 ADDED = ("shard", "slot", "home_shard", "hops")
 
 
@@ -106,7 +105,7 @@ def consistent_hash_shards(df: DataFrame, key: str, shards: int, vnodes: int = 1
     taken = walk(points, counts, capacities(sum(counts.values()), shards, slack))
     rows = [(*t, points[t[0]][1]) for t in taken]
     plan = spark.createDataFrame(rows, "_arc int, _first long, _end long, shard int, _slot long, hops int, home_shard int")
-    ranked = dense_positions(placed, "_arc", [F.col("_position"), F.col("_spread")], F.col("_spread"), SALTS, "_at")
+    ranked = dense_positions(placed, "_arc", [F.col("_position"), F.col("_spread")], F.col("_spread"), part_counts(counts), "_at")
     here = (ranked["_arc"] == plan["_arc"]) & (F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col("_end"))
     out = ranked.join(F.broadcast(plan), here)
     return out.select(*(F.col("_row")[c].alias(c) for c in kept), "shard", (F.col("_slot") + F.col("_at") - F.col("_first")).alias("slot"), "home_shard", "hops")

@@ -11,8 +11,11 @@ positions that restart with every segment.
 Nothing is shuffled, and a task holds one window of tokens at most, plus the
 longest document. Row ids count within a task's partition.
 
-Defined results: a null or empty text is its end token; repeated rows are
-packed each; an empty table gives no rows.
+Defined results: a null or empty text is its end token; a null id stays null in
+its rows; ids keep the type that they have; repeated rows are packed each, and
+pieces of equal lengths in the order of their rows; an empty table gives no
+rows. Columns other than the id and the text aren't in the result, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_words import slices
-from .token_ids import word_tokenizer
+from .token_ids import tokenizer_of
 
-ROW = "row_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
+ROW = "row_id long, n_tokens int, doc_ids array<{}>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
 
 
 class RoomTree:
@@ -79,7 +82,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def token_matrix(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, pad_id: int = 0, dtype: str = "<u2", window: int = 4 << 20) -> DataFrame:
     """The packed rows of all documents. ``dtype``: of ids and positions."""
 
-    def packed(docs_of: list, ids: list[np.ndarray], first_row: int) -> pa.RecordBatch:
+    def packed(docs_of: list, ids: list[np.ndarray], first_row: int, id_type: pa.DataType) -> pa.RecordBatch:
         owner, start, pieces = [], [], []
         for d, tokens in zip(docs_of, ids, strict=True):
             for s in range(0, len(tokens), capacity):
@@ -97,25 +100,28 @@ def token_matrix(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
             made = (first_row + k, int(ends[-1]), [owner[i] for i in row], [start[i] for i in row], [0, *ends.tolist()], matrix.tobytes(), positions.tobytes())
             for column, x in zip(out, made, strict=True):
                 column.append(x)
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         names = ["row_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "position_ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(tokenizer_path)
+        tokenizer = tokenizer_of(tokenizer_path)
+        if tokenizer.size - 1 > np.iinfo(dtype).max:
+            raise ValueError(f"ids up to {tokenizer.size - 1} don't fit {dtype}")
         docs_of, held, size, row = [], [], 0, TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
             ids, bounds = tokenizer.ids(batch.column("text"), end_id)
             ids = ids.astype(dtype)
             docs_of += batch.column("doc_id").to_pylist()
+            id_type = batch.column("doc_id").type
             held += [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             size += len(ids)
             if size >= window:
-                yield (out := packed(docs_of, held, row))
+                yield (out := packed(docs_of, held, row, id_type))
                 row += out.num_rows
                 docs_of, held, size = [], [], 0
         if held:
-            yield packed(docs_of, held, row)
+            yield packed(docs_of, held, row, id_type)
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, ROW)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return own.mapInArrow(run, ROW.format(own.schema["doc_id"].dataType.simpleString()))
