@@ -74,6 +74,18 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def keeping(docs, added, apply):
+    """``apply(docs)`` with the columns of ``docs`` alone, as they are there: those named as one of ``added`` go round the operator."""
+    taken = {a.lower() for a in added}
+    names, used = {}, [*docs.columns, *added]
+    for c in docs.columns:
+        if c.lower() in taken:
+            names[c] = fresh(f"{c}_", used)
+            used.append(names[c])
+    out = apply(docs.withColumnsRenamed(names))
+    return out.select(*(out[names.get(c, c)].alias(c) for c in docs.columns))
+
+
 def add_columns(df, text: str, fields: str, make, limit: int = SLICE_BYTES, least: int = 128):
     """``df`` with the columns of the DDL ``fields`` that ``make(texts)`` returns, in that order.
 

@@ -40,6 +40,7 @@ from .tables import PairTable
 BLOCK = 1024
 SLICE = 3 << 19  # bytes of texts that are parsed at a time
 UNKNOWN = "und"
+ADDED = ("lang_pred", "score", "known_letters")
 
 
 def crc_bucket(doc_id: Column, parts: int) -> Column:

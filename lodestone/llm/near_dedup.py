@@ -14,18 +14,23 @@ sets, and classes are the connected components of the verified pairs.
 
 No pairs are emitted within a bucket: every member is compared with the
 bucket's hub, the member that shares most with others. Members that then lie
-outside of the hub's component are a query set against all members of that
-component and against each other, in blocks of ``BLOCK``: a task compares two
-blocks and gives only the links it finds, so no candidate link between
-components is lost. Equal texts are one node from the start.
-
-Nodes are 64-bit hashes of texts: two different texts among n have the same
-with a probability of n * n / 2^65.
+outside of the hub's component are a query set against the others, in blocks of
+``BLOCK``: a task compares two blocks and gives only the links it finds, so no
+candidate link between components is lost. What they are compared with is, for
+each component, the smaller work of two: the members of each bucket that they
+share (buckets of equal members once), or all members of the component once.
+Equal texts are one node from the start.
+
+Nodes are 64-bit hashes of texts. Where different texts have the same one, which
+a second hash tells, all but one of them take that second hash. Shingles are
+48-bit hashes: two of n in a pair of texts are taken for equal with a
+probability of n * n / 2^49.
 
 Defined results: a null text is alone in its class; texts without words share
 a class only with equal texts; repeated rows share a class, of which ``kept``
 is true for one row; a null doc_id sorts last; a class without any doc_id has
-a null class_id; other columns are not touched.
+a null class_id. ``near_duplicates`` returns its own five columns,
+``deduplicated`` the columns of its input as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +40,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_words import flat_words, mix, ranges, slices, word_hashes
+from .arrow_words import flat_words, fresh, mix, ranges, slices, word_hashes
 from .storage import written
 
 SHINGLE = 5
@@ -181,24 +186,45 @@ def _block_links(p: int, q: int):
     return run
 
 
-def outside_links(texts: DataFrame, outside: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links (a, b) of ``outside`` (node, label, home) with all members of their homes, and with each other."""
+def arenas(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(arena, node, label, out): whom the members outside of a hub's component are compared with.
+
+    ``placed``: (band, node, label, home) of all members of the bands. In an
+    arena every node with ``out`` meets all others. Where a home's bands together
+    ask for fewer comparisons than its whole component, each of them is an arena.
+    """
+    named = placed.withColumn("out", F.col("label") != F.col("home"))
+    sign = (F.count("*").alias("n"), F.sum(F.col("out").cast("long")).alias("n_out"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"))
+    bands = named.groupBy("band", "home").agg(*sign).where("n_out > 0").groupBy("home", "n", "n_out", "s1", "s2").agg(F.min("band").alias("band"))
+    bands = written(bands, "bands")
+    outside = written(named.where("out").select("node", "label", "home").distinct(), "outside")
     homes = outside.select("home").distinct()
     members = labels.join(homes, labels["label"] == homes["home"]).select("node", "label", "home")
     alone = homes.select(F.col("home").alias("node"), F.col("home").alias("label"), "home")  # a hub without links
-    targets = written(members.unionByName(alone).unionByName(outside).distinct(), "targets")
-    sets = shingle_sets(texts, targets.select("node").distinct())
-    blocks = lambda df, name: df.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = written(blocks(outside, "nx").join(blocks(targets, "ny"), "home"), "sizes")
+    whole = written(members.unionByName(alone).unionByName(outside).distinct(), "whole")
+    work = bands.groupBy("home").agg(F.sum(F.col("n") * F.col("n_out")).alias("by_band"))
+    work = work.join(whole.groupBy("home").agg((F.count("*") * F.sum((F.col("label") != F.col("home")).cast("long"))).alias("at_once")), "home")
+    work = written(work.select("home", (F.col("by_band") < F.col("at_once")).alias("split")), "work")
+    at_once = whole.join(work.where("not split"), "home").select(F.xxhash64(F.lit(0), "home").alias("arena"), "node", "label", (F.col("label") != F.col("home")).alias("out"))
+    chosen = bands.join(work.where("split"), "home").select("band")
+    by_band = named.join(chosen, "band").select(F.xxhash64(F.lit(1), "band").alias("arena"), "node", "label", "out")
+    return written(at_once.unionByName(by_band), "arenas")
+
+
+def outside_links(texts: DataFrame, arenas: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links (a, b) of the nodes with ``out`` with all nodes of their arenas."""
+    sets = shingle_sets(texts, arenas.select("node").distinct())
+    sizes = arenas.groupBy("arena").agg(F.ceil(F.sum(F.col("out").cast("long")) / BLOCK).cast("int").alias("nx"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"))
+    sizes = written(sizes, "sizes")
 
     def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         """Every row in its own block, once for each block of the other side."""
-        df = df.join(sizes, "home").withColumn(own, F.pmod(F.xxhash64("node"), F.col(own_n)).cast("int"))
+        df = df.join(sizes, "arena").withColumn(own, F.pmod(F.xxhash64("node"), F.col(own_n)).cast("int"))
         df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-        return df.select("home", "x", "y", "node", "label").join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select(*(F.col(c).alias(c) for c in ("home", "x", "y", "node", "label", "shingles")))
+        return df.select("arena", "x", "y", "node", "label").join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select(*(F.col(c).alias(c) for c in ("arena", "x", "y", "node", "label", "shingles")))
 
-    left, right = dealt(outside, "x", "nx", "y", "ny"), dealt(targets, "y", "ny", "x", "nx")
-    key = ["home", "x", "y"]
+    left, right = dealt(arenas.where("out"), "x", "nx", "y", "ny"), dealt(arenas, "y", "ny", "x", "nx")
+    key = ["arena", "x", "y"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_links(threshold.numerator, threshold.denominator), "a long, b long")
     return written(found.distinct(), "links")
 
@@ -239,19 +265,42 @@ def near_duplicate_nodes(texts: DataFrame, threshold: Fraction, bands: int, rows
 
     placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     homes = hubs.join(labels, hubs["b"] == labels["node"], "left").select("band", F.coalesce("label", "b").alias("home"))
-    outside = written(placed.join(homes, "band").where("label <> home").select("node", "label", "home").distinct(), "outside")
-    if not outside.limit(1).count():
+    placed = written(placed.join(homes, "band"), "placed")
+    if not placed.where("label <> home").limit(1).count():
         return labels
-    more = outside_links(texts, outside, labels, threshold)
+    more = outside_links(texts, arenas(placed, labels), threshold)
     return components(edges.unionByName(more)) if more.limit(1).count() else labels
 
 
+def node_of(text: str, clashes: dict[int, int]) -> Column:
+    """The node of each text. ``clashes``: first hashes of texts that differ, and the second hash of the one that keeps it."""
+    node, second = F.xxhash64(text), _second(text)
+    for h, s in clashes.items():
+        node = F.when((F.xxhash64(text) == h) & (second != s), second).otherwise(node)
+    return F.when(F.col(text).isNotNull(), node)
+
+
+def _second(text: str) -> Column:
+    return F.xxhash64(F.lit("second"), F.col(text))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, node, class_id (the least doc_id of the class) and kept."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text"))
-    docs = docs.withColumn("node", F.when(F.col("text").isNotNull(), F.col("node")))
-    ids = written(docs.select("doc_id", "node", F.monotonically_increasing_id().alias("row")), "ids")
-    labels = near_duplicate_nodes(docs.select("node", "text"), Fraction(str(threshold)), bands, rows)
+    """One row per row of ``docs``: doc_id, node, class_id (the least doc_id of the class), class_size and kept."""
+    return _classes(docs, doc_id, text, threshold, bands, rows)[0]
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, dict[int, int]]:
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    hashes = F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text").alias("h"), _second("text").alias("s")))
+    ids = written(docs.select("doc_id", hashes.alias("node"), F.monotonically_increasing_id().alias("row")), "ids")
+    twice = ids.where("node is not null").groupBy("node.h").agg(F.min("node.s").alias("s"), F.max("node.s").alias("t")).where("s <> t")
+    clashes = {r.h: r.s for r in twice.collect()}  # n * n / 2^65 of them among n texts
+    kept_first = F.lit(True)
+    for h, s in clashes.items():
+        kept_first = kept_first & ~((F.col("node.h") == h) & (F.col("node.s") != s))
+    ids = ids.withColumn("node", F.when(kept_first, F.col("node.h")).otherwise(F.col("node.s")))
+    texts = docs.select(node_of("text", clashes).alias("node"), "text")
+    labels = near_duplicate_nodes(texts, Fraction(str(threshold)), bands, rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
     counted = ids.where("node is not null").groupBy("node").agg(first.alias("first"), F.count("*").alias("n"))
     counted = counted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -259,13 +308,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = counted.select("node", "label").join(classes, "label").select("node", "first", "class_size")
     out = ids.join(written(named, "classes"), "node", "left")
     alone = F.col("node").isNull()
-    return out.select(
+    found = out.select(
         "doc_id",
         "node",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (alone | (F.col("row") == F.col("first.row"))).alias("kept"),
     )
+    return found, clashes
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -274,13 +324,15 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     Only rows that go, or that equal another in doc_id and text, are looked up
     by key; all others stay where they are.
     """
-    out = written(near_duplicates(docs, doc_id, text, threshold), "decisions")
-    key = ["_id", "_node"]
-    named = docs.withColumn("_node", F.xxhash64(text)).withColumn("_id", F.coalesce(F.col(doc_id).cast("string"), F.lit("\0")))
-    marks = out.where("node is not null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"), F.col("node").alias("_node"), "kept")
-    marks = marks.groupBy(key).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    marks = written(marks.where("not kept or n > 1"), "marks")
-    marked, again = _narrow(marks.select(key), marks.count()), marks.where("kept")
+    found, clashes = _classes(docs, doc_id, text, threshold, BANDS, ROWS)
+    out = written(found, "decisions")
+    key = [fresh("_id", docs.columns), fresh("_node", docs.columns)]
+    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    named = docs.withColumn(key[1], node_of(text, clashes)).withColumn(key[0], as_text(doc_id))
+    marks = out.where("node is not null").select(as_text("doc_id").alias(key[0]), F.col("node").alias(key[1]), F.col("kept").alias("keep"))
+    marks = marks.groupBy(*key).agg(F.bool_or("keep").alias("keep"), F.count("*").alias("times"))
+    marks = written(marks.where("not keep or times > 1"), "marks")
+    marked, again = _narrow(marks.select(key), marks.count()), marks.where("keep")
     here = named.where(F.col(text).isNotNull())
     stay = named.where(F.col(text).isNull()).unionByName(here.join(marked, key, "left_anti").select(named.columns))
     one = here.join(_narrow(again.select(key), again.count()), key, "left_semi").dropDuplicates(key).select(named.columns)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from .arrow_words import add_columns
 
 KINDS = ("email", "ip", "card", "phone")
+ADDED = (*(f"n_{k}" for k in KINDS), "base", "spans", "redacted")
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
