@@ -7,14 +7,16 @@ single text longer than the bound is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -25,6 +27,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library than glibc
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return the memory of freed arrays to the system: workers live on, and others run beside them."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, least: int = 128) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of a slice hold ``limit`` bytes at most, each taken as ``least`` or more."""
     for batch in batches:
@@ -37,6 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             end = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        give_back()
 
 
 def flat_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -9,7 +9,7 @@ ends in a seen shorter one, so the weights of all lengths follow from counts.
 
 Texts travel as blocks: a slice of a partition with its words as codes. A
 block sends its distinct keys (56-bit hashes) with their training counts to
-``2 ** part_bits`` parts of the key range and gets the totals of just these keys
+up to 2 ** ``PART_BITS`` parts of the key range and gets the totals of just these keys
 back (``exchanged``). Where more than ``FAN`` blocks would meet in a part they
 are first bundled: a bundle is a block of sums over a part of the range, which
 sends to the parts of that part, and so on. So a task holds ``FAN`` messages of a
@@ -55,7 +55,7 @@ from .storage import written
 LARGEST, FLOOR = 5, 0.01
 BLOCK_BYTES = 8 << 20
 PART_TOKENS = 2_000_000
-FAN = 128
+FAN, PART_BITS = 512, 8
 BITS = 56
 _M = np.uint64(0x9E3779B97F4A7C15)
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # hashes of the end token and of the history before a text
@@ -447,7 +447,7 @@ def katz_scores(docs: DataFrame, held_out: str = "held_out", doc_id: str = "doc_
     arrow = lambda ddl: to_arrow_schema(StructType.fromDDL(ddl.format(id_type)))
     each = F.coalesce(F.octet_length("text"), F.lit(0)) + 6
     size, blocks = (x or 0 for x in own.agg(F.sum(each), F.sum(F.greatest(each, F.lit(128)) / BLOCK_BYTES + F.lit(2e-4))).first())
-    bits = min(FAN.bit_length() - 1, max(3, (int(size) // 6 // PART_TOKENS).bit_length()))
+    bits = min(PART_BITS, max(3, (int(size) // 6 // PART_TOKENS).bit_length()))
     sent, kind = own.mapInArrow(_sent(order, bits), MESSAGE), Kind(counts=True)
     blocks = int(blocks) + 1  # about; a batch of 10,000 rows is a block at least
     tables = written(exchanged(sent, kind, blocks, bits, bits), "katz", partition_by=["level"])
