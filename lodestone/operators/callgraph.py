@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.names import boundary_match, fuzzy_pattern
+from lodestone.functions.names import boundary_match, fuzzy_pattern, split_qualified
 from lodestone.functions.paths import tests_symbol
 from lodestone.functions.weights import IMPACT_KINDS
 from lodestone.storage import written
@@ -196,9 +196,30 @@ def query_graph(references: DataFrame, pattern: str, target: str, limit: int | N
     return _neighbours(found, F.col(side), limit)
 
 
-def explain_prompts(references: DataFrame, chunks: DataFrame, name: str) -> DataFrame:
-    """(symbol, prompt): a root with its neighbours and its snippet, for a chat port; one row for each root."""
-    roots = resolve_roots(references, name)[0]
-    one = lambda here, there: references.where(f"{there} is not null").groupBy(F.col(here).alias("symbol")).agg(F.concat_ws(", ", F.sort_array(F.collect_set(there))).alias(there))
-    text = F.concat_ws("\n", F.concat(F.lit("Symbol: "), "symbol"), F.concat(F.lit("Called by: "), "caller_symbol"), F.concat(F.lit("Calls: "), "callee_symbol"))
-    return roots.join(one("callee_symbol", "caller_symbol"), "symbol", "left").join(one("caller_symbol", "callee_symbol"), "symbol", "left").select("symbol", text.alias("prompt"))
+def explain_prompts(references: DataFrame, chunks: DataFrame, name: str, regex: bool = False, shown: int = 50) -> DataFrame:
+    """(symbol, prompt): the root's prompt for a chat port, with its neighbours and its snippet.
+
+    Several roots are candidates to choose from: a row for each, without a
+    prompt. A prompt is a page: it names ``shown`` neighbours on either side (the
+    first by name) and how many there are. The snippet is the smallest chunk of
+    the symbol's short name, one whose path holds its class first.
+    """
+    roots = written(resolve_roots(references, name, regex)[0].select("symbol").distinct(), "roots")
+    few = roots.limit(2).count()
+    if few != 1:
+        return roots.select("symbol", F.lit(None).cast("string").alias("prompt"))
+
+    def near(here: str, there: str) -> DataFrame:
+        found = references.where(f"{there} is not null").join(F.broadcast(roots), F.col(here) == F.col("symbol")).select("symbol", F.col(there).alias("other")).distinct()
+        page = found.orderBy("other").limit(shown).groupBy("symbol").agg(F.concat_ws(", ", F.sort_array(F.collect_list("other"))).alias(there))
+        return page.join(found.groupBy("symbol").agg(F.count("*").alias(f"n_{there}")), "symbol")
+
+    root = roots.first()["symbol"]
+    parts = split_qualified(F.lit(root))
+    hint = F.coalesce(F.contains("file_path", parts["hint"]), F.lit(False))
+    snippet = chunks.where(F.col("symbol_name") == parts["name"]).orderBy(F.desc(hint), F.col("end_line") - F.col("start_line"), "id").limit(1)
+    snippet = snippet.select(F.lit(root).alias("symbol"), "content")
+    line = lambda label, c: F.concat(F.lit(f"{label} ("), F.col(f"n_{c}"), F.lit("): "), F.col(c))
+    text = F.concat_ws("\n", F.concat(F.lit("Symbol: "), "symbol"), line("Called by", "caller_symbol"), line("Calls", "callee_symbol"), F.concat(F.lit("Source:\n"), "content"))
+    out = roots.join(near("callee_symbol", "caller_symbol"), "symbol", "left").join(near("caller_symbol", "callee_symbol"), "symbol", "left").join(snippet, "symbol", "left")
+    return out.select("symbol", text.alias("prompt"))

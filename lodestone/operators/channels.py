@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.channels import glob_matches, normalize_channel, route_matches, segments, topic_matches
 from lodestone.functions.paths import is_test_path
+from lodestone.storage import written
 
 NOISY = 20
 WINDOW = 2
@@ -67,6 +68,7 @@ def distinct_channels(endpoints: DataFrame) -> DataFrame:
     topics likewise. So names meet names, never sites sites.
     """
     own = endpoints.where("resolved").select("protocol", "role", F.col("channel_normalized").alias("name"), "is_pattern").distinct()
+    own = written(own, "channels")  # read by each of the joins below
     p, c = own.where("role = 'producer'"), own.where("role = 'consumer'")
     left = lambda df: df.select("protocol", F.col("name").alias("p_name"), F.col("is_pattern").alias("p_pattern"))
     right = lambda df: df.select("protocol", F.col("name").alias("c_name"), F.col("is_pattern").alias("c_pattern"))

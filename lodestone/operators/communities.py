@@ -2,13 +2,13 @@
 
 Partitions are made by local moving, refinement and aggregation of modularity,
 with a fixed order of nodes, one Python task for each group of ``group``
-(a repository or a namespace); the reports around it are DataFrames. A graph
-whose group doesn't fit a task is first cut into connected components.
+(a repository or a namespace); the reports around it are DataFrames. A group's
+graph has to fit a task: nothing cuts a larger one.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,10 +43,10 @@ def _move(graph: Graph, start: dict, gamma: float, within: dict | None = None) -
     mass: dict = defaultdict(float)
     for n, p in part.items():
         mass[p] += strength[n]
-    queue = sorted(graph, key=str)
+    queue = deque(sorted(graph, key=str))
     waiting = set(queue)
     while queue:
-        n = queue.pop(0)
+        n = queue.popleft()
         waiting.discard(n)
         own = part[n]
         mass[own] -= strength[n]

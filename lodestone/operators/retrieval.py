@@ -7,6 +7,7 @@ task meet.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable
 from functools import reduce
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from lodestone.functions.names import split_qualified
 from lodestone.functions.paths import is_test_file
 from lodestone.functions.weights import IMPACT_KINDS, cosine
+from lodestone.storage import written
 
 RRF_K = 60
 TEST_PENALTY = 0.5
 FLOOR = 0.1
 TEXT_CANDIDATES = 10
+LISTED = 1000
 SEEDS, NEIGHBOURS, GRAPH_LEG = 5, 25, 20
 
 
@@ -78,15 +81,16 @@ def words(text: Column) -> Column:
 def bm25(chunks: DataFrame, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 over content and symbol name, without stemming; only chunks with a query word.
 
-    Term counts are taken within each row, so no token leaves its task; the
-    corpus figures are one row of sums.
+    Term counts are taken within each row, so no token leaves its task. Texts
+    are split once: lengths and counts are written, the corpus figures and the
+    scores come from them, and only the first ``limit`` rows meet their chunks.
     """
     terms = sorted(set(filter(None, _query_words(query))))
     text = words(F.concat_ws(" ", "content", "symbol_name"))
     counted = chunks.withColumn("_words", text).withColumn("_dl", F.size("_words").cast("double"))
     for i, t in enumerate(terms):
         counted = counted.withColumn(f"_tf{i}", F.size(F.filter("_words", _is(t))).cast("double"))
-    counted = counted.drop("_words")
+    counted = written(counted.select("id", "_dl", *(f"_tf{i}" for i in range(len(terms)))), "terms")
     figures = counted.agg(F.count("*").alias("n"), F.avg("_dl").alias("avg"), *(F.sum((F.col(f"_tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -95,7 +99,36 @@ def bm25(chunks: DataFrame, query: str, limit: int = 10, k1: float = 1.2, b: flo
         tf = F.col(f"_tf{i}")
         score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_dl") / F.lit(figures["avg"] or 1.0)))
     found = reduce(lambda x, y: x | y, (F.col(f"_tf{i}") > 0 for i in range(len(terms))), F.lit(False))
-    return ranked(counted.where(found).withColumn("score", F.round(score, 6)).select(*chunks.columns, "score"), limit)
+    best = counted.where(found).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    return ranked(chunks.join(F.broadcast(best), "id").select(*chunks.columns, "score"), limit)
+
+
+class TextIndex:
+    """Postings of a corpus (term, id, tf, dl), sorted by term, and its figures: a query reads its own terms' rows.
+
+    Built once for many queries. A very common term's postings are many rows in
+    many files, never one group.
+    """
+
+    def __init__(self, chunks: DataFrame):
+        text = chunks.select("id", words(F.concat_ws(" ", "content", "symbol_name")).alias("w"))
+        each = text.select("id", F.size("w").cast("double").alias("dl"), F.explode("w").alias("term"))
+        each = each.groupBy("term", "id", "dl").agg(F.count("*").cast("double").alias("tf"))  # combined where the chunk is
+        self.postings = written(each.repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        n, self.average = text.agg(F.count("*"), F.avg(F.size("w"))).first()
+        self.n = n or 0
+
+    def bm25(self, chunks: DataFrame, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """The same rows as ``bm25`` over the indexed chunks."""
+        terms = sorted(set(filter(None, _query_words(query))))
+        own = written(self.postings.where(F.col("term").isin(terms)), "hits")
+        df = {r.term: r["count"] for r in own.groupBy("term").count().collect()}
+        idf = F.lit(0.0)
+        for t, d in df.items():
+            idf = F.when(F.col("term") == t, F.lit(math.log(1 + (self.n - d + 0.5) / (d + 0.5)))).otherwise(idf)
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.average or 1.0)))
+        best = own.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+        return ranked(chunks.join(F.broadcast(best), "id").select(*chunks.columns, "score"), limit)
 
 
 def _is(term: str):
@@ -198,11 +231,17 @@ def hash_scorer(query: str, text: Column) -> Column:
 
 
 def rerank_listed(results: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]], limit: int) -> DataFrame:
-    """Rerank by a port that scores the already limited rows as one list; a wrong number or an error leaves the scores."""
-    rows = results.orderBy(F.desc("score"), "id").select("id", "symbol_name", "node_type", "content").collect()
+    """Rerank by a port that scores the already limited rows as one list; a wrong number or an error, which is logged, leaves the scores.
+
+    The port is for a page of results: more than ``LISTED`` rows raise an error.
+    """
+    rows = results.orderBy(F.desc("score"), "id").limit(LISTED + 1).select("id", "symbol_name", "node_type", "content").collect()
+    if len(rows) > LISTED:
+        raise ValueError(f"more than {LISTED} results; limit them first")
     try:
         scores = scorer(query, [f"{r.symbol_name or ''} [{r.node_type}] {r.content}" for r in rows])
     except Exception:
+        logging.getLogger(__name__).exception("the scorer failed; scores stay")
         scores = []
     if len(scores) != len(rows) or not rows:
         return ranked(results, limit)

@@ -14,9 +14,19 @@ def counts_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def repository_stats(chunks: DataFrame) -> DataFrame:
-    """Files and chunks by repository and over all (null repository)."""
-    return chunks.rollup("repository_id").agg(F.count_distinct("file_path").alias("files"), F.count("*").alias("chunks"))
+def repository_stats(chunks: DataFrame, references: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Files, chunks, languages, references and endpoints by repository and over all (null repository)."""
+    own = chunks.rollup("repository_id").agg(F.count_distinct("file_path").alias("files"), F.count("*").alias("chunks"), F.count_distinct("language").alias("languages"))
+    out = own.select(F.col("repository_id").alias("id"), "files", "chunks", "languages")
+    for name, df in (("references", references), ("endpoints", endpoints)):
+        counted = df.rollup("repository_id").agg(F.count("*").alias(name)).withColumnRenamed("repository_id", "other")
+        out = out.join(counted, out["id"].eqNullSafe(counted["other"]), "full").select(F.coalesce("id", "other").alias("id"), *(c for c in (*out.columns[1:], name)))
+    return out.withColumnRenamed("id", "repository_id").na.fill(0)
+
+
+def language_totals(references: DataFrame) -> DataFrame:
+    """References by language, the most first."""
+    return counts_by(references, "language").orderBy(F.desc("n"), "language")
 
 
 def language_shares(chunks: DataFrame) -> DataFrame:
@@ -47,6 +57,18 @@ def apply_diff(chunks: DataFrame, diff: DataFrame, parsed: DataFrame) -> DataFra
     return chunks.join(gone, ["repository_id", "file_path"], "left_anti").unionByName(parsed)
 
 
+def overview_report(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, n, note): the rows of each section; one that fails has the error's class as its note, and the others stay."""
+    out = []
+    for name, df in sections.items():
+        try:
+            out.append((name, df.count(), None))
+        except Exception as error:  # a section's own, of whatever kind
+            out.append((name, 0, f"skipped: {type(error).__name__}"))
+    spark = next(iter(sections.values())).sparkSession
+    return spark.createDataFrame(out, "section string, n long, note string")
+
+
 def overview(chunks: DataFrame, references: DataFrame, endpoints: DataFrame) -> dict[str, DataFrame]:
     """The overview's sections; each is a plan of its own, so one that fails leaves the others."""
     from lodestone.operators.channels import link
@@ -54,7 +76,7 @@ def overview(chunks: DataFrame, references: DataFrame, endpoints: DataFrame) ->
     from lodestone.operators.filegraph import file_graph
 
     return {
-        "statistics": repository_stats(chunks),
+        "statistics": repository_stats(chunks, references, endpoints),
         "languages": language_shares(chunks),
         "call_graph": graph_totals(references),
         "features": features(references, limit=10),

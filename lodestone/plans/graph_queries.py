@@ -10,6 +10,7 @@ from lodestone.operators import filegraph as fg
 from lodestone.operators import flows as fl
 from lodestone.plans.registry import query
 from lodestone.plans.views import sql, view
+from lodestone.storage import written
 
 ROOT = "pkg6.C20#m20"  # 20 % 7 and 20 % 23
 TESTED = "pkg1.C15#m15"
@@ -21,6 +22,11 @@ def refs(spark, sf_dir):
     return view(spark, sf_dir, "refs")
 
 
+def stored(spark, sf_dir):
+    """The view's rows, written: it is a distinct of the whole table, and traversals read it several times."""
+    return written(refs(spark, sf_dir), "refs")
+
+
 def _lookup(name: str, where: str, make):
     @query(name, sql(f"SELECT id, caller_symbol, callee_symbol, reference_file_path, reference_line FROM refs WHERE {where}", "refs"))
     def run(spark, sf_dir):
@@ -67,7 +73,7 @@ SHOWN = ("symbol", "depth", "via_symbol", "reference_id")
 
 
 def _nodes(spark, sf_dir, direction="callers"):
-    d = refs(spark, sf_dir)
+    d = stored(spark, sf_dir)
     return cg.traverse(d, spark.createDataFrame([(ROOT,)], "symbol string"), direction)
 
 
@@ -78,7 +84,7 @@ def bfs(spark, sf_dir):
 
 @query("impact", sql(f"+ {_UP} SELECT symbol, CAST(depth AS INT) AS depth FROM n", "refs", recursive=True))
 def impact(spark, sf_dir):
-    return cg.impact(refs(spark, sf_dir), "m20").select("symbol", "depth")
+    return cg.impact(stored(spark, sf_dir), "m20").select("symbol", "depth")
 
 
 @query("depth_summary", sql(f"+ {_UP} SELECT count(*) AS total, CAST(max(depth) AS INT) AS max_depth FROM n", "refs", recursive=True))
@@ -88,7 +94,7 @@ def depth_summary(spark, sf_dir):
 
 @query("context", sql(f"+ {_UP}, {_bfs('caller_symbol', 'callee_symbol', 'c')} SELECT symbol, CAST(depth AS INT) AS depth, 'callers' AS direction FROM n UNION ALL SELECT symbol, CAST(depth AS INT), 'callees' FROM nc", "refs", recursive=True))
 def context(spark, sf_dir):
-    return cg.context(refs(spark, sf_dir), "m20").select("symbol", "depth", "direction")
+    return cg.context(stored(spark, sf_dir), "m20").select("symbol", "depth", "direction")
 
 
 @query("leaves", sql(f"+ {_UP} SELECT symbol, reference_id FROM n WHERE symbol NOT IN (SELECT via_symbol FROM n)", "refs", recursive=True))
@@ -139,9 +145,14 @@ def qg_tests_for(spark, sf_dir):
     return cg.query_graph(named, "tests_for", ROOT).select("symbol", "id")
 
 
-@query("explain")
+_SIDE = "(SELECT string_agg(s, ', ' ORDER BY s) FROM (SELECT DISTINCT {0} AS s FROM refs WHERE {1} = '%s' AND {0} IS NOT NULL ORDER BY s LIMIT 50))" % ROOT
+_MANY = "(SELECT count(DISTINCT {0}) FROM refs WHERE {1} = '%s' AND {0} IS NOT NULL)" % ROOT
+_LINE = lambda label, there, here: f"'{label} (' || {_MANY.format(there, here)} || '): ' || {_SIDE.format(there, here)}"
+
+
+@query("explain", sql(f"SELECT '{ROOT}' AS symbol, concat_ws(chr(10), 'Symbol: {ROOT}', {_LINE('Called by', 'caller_symbol', 'callee_symbol')}, {_LINE('Calls', 'callee_symbol', 'caller_symbol')}, (SELECT 'Source:' || chr(10) || content FROM chunks WHERE symbol_name = 'm20' ORDER BY end_line - start_line, id LIMIT 1)) AS prompt", "refs", "chunks"))
 def explain(spark, sf_dir):
-    return cg.explain_prompts(refs(spark, sf_dir), view(spark, sf_dir, "chunks"), "m20")
+    return cg.explain_prompts(stored(spark, sf_dir), view(spark, sf_dir, "chunks"), ROOT)
 
 
 # flows
@@ -169,31 +180,41 @@ o AS (SELECT *, round(least(0.55::DOUBLE * least(reach / 40.0::DOUBLE, 1) + 0.3:
 
 @query("feature_bfs", sql(f"{_FLOW} SELECT entry_point, symbol, CAST(depth AS INT) AS depth FROM f", "refs", recursive=True))
 def feature_bfs(spark, sf_dir):
-    d = refs(spark, sf_dir)
+    d = stored(spark, sf_dir)
     return fl.feature_nodes(d, fl.entry_points(d))
 
 
 @query("criticality", sql(f"{_FLOW}{_PLACES} SELECT * FROM o", "refs", recursive=True))
 def criticality(spark, sf_dir):
-    d = refs(spark, sf_dir)
+    d = stored(spark, sf_dir)
     return fl.criticality(fl.feature_nodes(d, fl.entry_points(d)), fl.symbol_places(d))
 
 
 @query("features_list", sql(f"{_FLOW}{_PLACES} SELECT * FROM o ORDER BY criticality DESC, entry_point LIMIT 20", "refs", recursive=True))
 def features_list(spark, sf_dir):
-    return fl.features(refs(spark, sf_dir), limit=20)
+    return fl.features(stored(spark, sf_dir), limit=20)
 
 
 @query("feature_get", sql(f"{_FLOW}{_PLACES} SELECT * FROM o WHERE entry_point = (SELECT min(entry_point) FROM ep)", "refs", recursive=True))
 def feature_get(spark, sf_dir):
-    d = refs(spark, sf_dir)
-    return fl.features(d, fl.entry_points(d).agg(F.min("entry_point").alias("entry_point")))
+    d = stored(spark, sf_dir)
+    first = fl.entry_points(d).agg(F.min("entry_point").alias("name")).first()["name"]
+    return fl.get_feature(d, first or "")
+
+
+@query("feature_path", sql(f"""{_FLOW}{_PLACES}, one AS (SELECT symbol, depth FROM f WHERE entry_point = (SELECT min(entry_point) FROM ep)),
+st AS (SELECT b.symbol, arg_min({{'l': reference_line, 'c': caller_symbol, 'r': repository_id}}, (reference_file_path, reference_line, id)) AS s FROM one a JOIN x ON caller_symbol = a.symbol JOIN one b ON callee_symbol = b.symbol AND b.depth = a.depth + 1 GROUP BY b.symbol),
+cc AS (SELECT caller_symbol AS symbol, count(*) AS n FROM x WHERE caller_symbol IS NOT NULL GROUP BY ALL), hm AS (SELECT min(repository_id) AS home FROM x WHERE caller_symbol = (SELECT min(entry_point) FROM ep))
+SELECT symbol, CAST(depth AS INT) AS depth, file_path, s.l AS line, s.c AS caller, coalesce(n, 0) AS callee_count, CASE WHEN s.r <> home THEN s.r END AS repository FROM one LEFT JOIN pl USING (symbol) LEFT JOIN st USING (symbol) LEFT JOIN cc USING (symbol), hm""", "refs", recursive=True))
+def feature_path(spark, sf_dir):
+    d = stored(spark, sf_dir)
+    first = fl.entry_points(d).agg(F.min("entry_point").alias("name")).first()["name"]
+    return fl.feature_path(d, first or "")
 
 
 @query("features_impacted", sql(f"{_FLOW} SELECT DISTINCT entry_point FROM f WHERE symbol = '{ROOT}'", "refs", recursive=True))
 def features_impacted(spark, sf_dir):
-    d = refs(spark, sf_dir)
-    return fl.features_impacted(fl.feature_nodes(d, fl.entry_points(d)), spark.createDataFrame([(ROOT,)], "symbol string"))
+    return fl.features_impacted(stored(spark, sf_dir), spark.createDataFrame([(ROOT,)], "symbol string"))
 
 
 # files
@@ -265,7 +286,7 @@ def _undirected(edges):
 
 def _fixed(spark, sf_dir):
     """Members by a rule that SQL can state too: the package folder of a file is its community."""
-    edges, _ = _grouped(spark, sf_dir)
+    edges = written(_grouped(spark, sf_dir)[0], "file-edges")
     nodes = edges.select("repository_id", F.explode(F.array("from_node", "to_node")).alias("member")).distinct()
     return edges, nodes.withColumn("community", F.substring_index("member", "/", 2))
 

@@ -11,6 +11,7 @@ from lodestone.plans.registry import query
 from lodestone.plans.scalar_queries import _NORM, _PATTERN
 from lodestone.plans.views import sql, view
 from lodestone.session import table
+from lodestone.storage import written
 
 _EP = f"""+ ep AS (SELECT *, {_NORM} AS name, {_PATTERN} AS is_pattern FROM endpoints), p AS (SELECT * FROM ep WHERE resolved AND role = 'producer'), c AS (SELECT * FROM ep WHERE resolved AND role = 'consumer'),
 pn AS (SELECT DISTINCT protocol, name, is_pattern FROM p), cn AS (SELECT DISTINCT protocol, name, is_pattern FROM c),
@@ -97,6 +98,11 @@ def cg_stats(spark, sf_dir):
     return st.graph_totals(view(spark, sf_dir, "refs"))
 
 
+@query("cg_stats_languages", sql("SELECT language, count(*) AS n FROM refs GROUP BY ALL", "refs"))
+def cg_stats_languages(spark, sf_dir):
+    return st.language_totals(view(spark, sf_dir, "refs"))
+
+
 @query("cg_stats_kinds", sql("SELECT reference_kind, count(*) AS n FROM refs GROUP BY ALL", "refs"))
 def cg_stats_kinds(spark, sf_dir):
     return st.counts_by(view(spark, sf_dir, "refs"), "reference_kind")
@@ -107,9 +113,15 @@ def proto_counts(spark, sf_dir):
     return st.counts_by(view(spark, sf_dir, "endpoints"), "protocol")
 
 
-@query("stats", sql("SELECT repository_id, count(DISTINCT file_path) AS files, count(*) AS chunks FROM chunks GROUP BY ROLLUP (repository_id)", "chunks"))
+_STATS = """SELECT coalesce(c.k, r.k, e.k) AS repository_id, coalesce(files, 0) AS files, coalesce(chunks, 0) AS chunks, coalesce(languages, 0) AS languages, coalesce(refs_n, 0) AS "references", coalesce(endpoints_n, 0) AS endpoints
+FROM (SELECT repository_id AS k, count(DISTINCT file_path) AS files, count(*) AS chunks, count(DISTINCT language) AS languages FROM chunks GROUP BY ROLLUP (repository_id)) c
+FULL JOIN (SELECT repository_id AS k, count(*) AS refs_n FROM refs GROUP BY ROLLUP (repository_id)) r ON c.k IS NOT DISTINCT FROM r.k
+FULL JOIN (SELECT repository_id AS k, count(*) AS endpoints_n FROM endpoints GROUP BY ROLLUP (repository_id)) e ON coalesce(c.k, r.k) IS NOT DISTINCT FROM e.k"""
+
+
+@query("stats", sql(_STATS, "chunks", "refs", "endpoints"))
 def stats(spark, sf_dir):
-    return st.repository_stats(view(spark, sf_dir, "chunks"))
+    return st.repository_stats(view(spark, sf_dir, "chunks"), view(spark, sf_dir, "refs"), endpoints(spark, sf_dir))
 
 
 @query("language_shares", sql("SELECT repository_id, language, count(DISTINCT file_path) AS files, count(*) AS chunks FROM chunks GROUP BY ALL", "chunks"))
@@ -117,9 +129,15 @@ def language_shares(spark, sf_dir):
     return st.language_shares(view(spark, sf_dir, "chunks"))
 
 
-@query("overview", sql("SELECT repository_id, files, chunks FROM (SELECT repository_id, count(DISTINCT file_path) AS files, count(*) AS chunks FROM chunks GROUP BY ROLLUP (repository_id))", "chunks"))
+_SECTIONS = """SELECT * FROM (SELECT 'statistics' AS section, (SELECT count(*) FROM (SELECT repository_id FROM chunks UNION SELECT repository_id FROM refs UNION SELECT repository_id FROM endpoints)) + 1 AS n
+UNION ALL SELECT 'languages', (SELECT count(*) FROM (SELECT DISTINCT repository_id, language FROM chunks)) UNION ALL SELECT 'call_graph', 1
+UNION ALL SELECT 'features', (SELECT least(count(DISTINCT caller_symbol), 10) FROM refs WHERE reference_kind IN ('call', 'method_call', 'instantiation', 'macro_invocation') AND caller_symbol NOT IN (SELECT callee_symbol FROM refs WHERE reference_kind IN ('call', 'method_call', 'instantiation', 'macro_invocation') AND caller_symbol IS NOT NULL))
+UNION ALL SELECT 'dependencies', (SELECT least(count(*), 10) FROM (SELECT DISTINCT caller_file_path, repository_id, reference_file_path FROM refs WHERE reference_file_path <> caller_file_path)) UNION ALL SELECT 'channels', 10), (SELECT CAST(NULL AS VARCHAR) AS note)"""
+
+
+@query("overview", sql(_SECTIONS, "chunks", "refs", "endpoints"))
 def overview(spark, sf_dir):
-    return st.overview(view(spark, sf_dir, "chunks"), view(spark, sf_dir, "refs"), endpoints(spark, sf_dir))["statistics"]
+    return st.overview_report(st.overview(view(spark, sf_dir, "chunks"), written(view(spark, sf_dir, "refs"), "refs"), endpoints(spark, sf_dir)))
 
 
 @query("repo_list", sql("SELECT id, name, namespace FROM repositories", "repositories"))

@@ -66,6 +66,13 @@ def bm25(spark, sf_dir):
     return r.bm25(view(spark, sf_dir, "chunks"), TEXT).select(*SHOWN)
 
 
+@query("bm25_index", sql(f"SELECT id, score FROM {_BM25}", "chunks"))
+def bm25_index(spark, sf_dir):
+    """From postings that are built once for many queries."""
+    chunks = view(spark, sf_dir, "chunks")
+    return r.TextIndex(chunks).bm25(chunks, TEXT).select(*SHOWN)
+
+
 def _overlap(limit: int) -> str:
     points = " + ".join(f"CAST(contains(lower(content), '{t}') AS INT) + 2 * CAST(contains(lower(coalesce(symbol_name, '')), '{t}') AS INT)" for t in TERMS)
     return f"(SELECT id, repository_id, file_path, start_line, end_line, round(({points}) / {3.0 * len(TERMS)}::DOUBLE, 6) AS score FROM chunks WHERE ({points}) > 0 ORDER BY score DESC, id LIMIT {limit})"

@@ -72,16 +72,16 @@ def test_hub_couples_cliques(spark):
 
 def test_messaging_services(spark):
     rows = [
-        ("1", "orders", "app.py", 5, "kafka", "producer", "orders.created", "checkout", 0.6),
-        ("2", "orders", "app.py", 9, "kafka", "producer", "orders.audited", "checkout", 0.6),
-        ("3", "orders", "app.py", 12, "http", "consumer", "/api/orders/<order_id>", "get_order", 0.9),
-        ("4", "mail", "consumer.js", 4, "kafka", "consumer", "orders.created", "start", 0.8),
-        ("5", "mail", "consumer.js", 8, "http", "producer", "http://orders-service/api/orders/123", "start", 0.9),
+        ("1", "scales", "weigh.rs", 31, "mqtt", "producer", "hall/3/weight", "report", 0.7),
+        ("2", "scales", "weigh.rs", 44, "mqtt", "producer", "hall/3/fault", "alarm", 0.7),
+        ("3", "labels", "print.go", 8, "http", "consumer", "/print/{parcel}/label", "print_label", 0.8),
+        ("4", "sorter", "belt.kt", 15, "mqtt", "consumer", "hall/+/weight", "on_weight", 0.9),
+        ("5", "sorter", "belt.kt", 22, "http", "producer", "https://labels.local/print/77/label?size=a6", "on_weight", 0.9),
     ]
     own = spark.createDataFrame(rows, "id string, repository_id string, file_path string, line int, protocol string, role string, channel_raw string, enclosing_symbol string, confidence double").withColumn("resolved", F.lit(True))
     own = ch.normalized(own)
     got = {(r.protocol, r.channel, r.p_best.symbol, r.c_best.symbol) for r in ch.link(own).collect()}
-    assert got == {("kafka", "orders.created", "checkout", "start"), ("http", "/api/orders/{}", "start", "get_order")}
+    assert got == {("mqtt", "hall/+/weight", "report", "on_weight"), ("http", "/print/{}/label", "on_weight", "print_label")}
     assert [r.id for r in ch.unmatched(own).collect()] == ["2"]
 
 
@@ -95,3 +95,42 @@ def test_all_routes_of_any_length(spark):
     assert sorted(tuple(r.route) for r in cg.all_routes(refs, "s0").collect()) == sorted(want)
     assert max(map(len, want)) == 13
     assert sorted(tuple(r.route) for r in cg.all_routes(refs, "s0", 2).collect()) == sorted(w for w in want if len(w) <= 3)
+
+
+def test_feature_of_a_name_and_its_path(spark):
+    refs = edges(spark, [("pkg.Main#run", "x", "call"), ("pkg.Main#run", "y", "call"), ("x", "z", "method_call"), ("y", "z", "call"), ("z", "x", "call")])
+    assert [r.entry_point for r in fl.get_feature(refs, "run").collect()] == ["pkg.Main#run"]
+    assert fl.get_feature(refs, "x").count() == 0 and fl.get_feature(refs, "nowhere").count() == 0
+    got = {r.symbol: (r.depth, r.file_path, r.line, r.caller, r.callee_count, r.repository) for r in fl.feature_path(refs, "pkg.Main#run").collect()}
+    assert got == {"pkg.Main#run": (0, "pkg.Main#run.py", None, None, 2, None), "x": (1, "x.py", 0, "pkg.Main#run", 1, None), "y": (1, "y.py", 1, "pkg.Main#run", 1, None), "z": (2, "z.py", 2, "x", 1, None)}
+
+
+def test_a_path_names_the_repository_where_it_crosses(spark):
+    refs = edges(spark, [("main", "x", "call"), ("x", "y", "call")]).withColumn("repository_id", F.when(F.col("caller_symbol") == "x", "other").otherwise("r"))
+    assert {r.symbol: r.repository for r in fl.feature_path(refs, "main").collect()} == {"main": None, "x": None, "y": "other"}
+
+
+def test_impacted_features_go_backwards(spark):
+    refs = edges(spark, [("a", "x", "call"), ("b", "y", "call"), ("x", "z", "call"), ("z", "x", "call"), ("c", "z", "import")])
+    changed = lambda *s: spark.createDataFrame([(x,) for x in s], "symbol string")
+    assert {r[0] for r in fl.features_impacted(refs, changed("z")).collect()} == {"a"}
+    assert {r[0] for r in fl.features_impacted(refs, changed("z", "b")).collect()} == {"a", "b"}
+    assert fl.features_impacted(refs, changed("nowhere")).count() == 0
+
+
+def test_explain_has_a_snippet_or_candidates(spark):
+    refs = edges(spark, [(f"c{i:03d}", "A#go", "call") for i in range(60)] + [("A#go", "leaf", "call"), ("q", "B#go", "call")])
+    chunks = spark.createDataFrame([("1", "b.py", "fn go() {}", 1, 9, "go"), ("2", "A.py", "def go(): pass", 1, 20, "go")], "id string, file_path string, content string, start_line int, end_line int, symbol_name string")
+    found = cg.explain_prompts(refs, chunks, "go").collect()
+    assert {(r.symbol, r.prompt) for r in found} == {("A#go", None), ("B#go", None)}
+    prompt = cg.explain_prompts(refs, chunks, "A#go").first().prompt
+    assert prompt.startswith("Symbol: A#go\nCalled by (60): c000, ") and "c049" in prompt and "c050" not in prompt
+    assert "\nCalls (1): leaf\n" in prompt and prompt.endswith("Source:\ndef go(): pass")
+
+
+def test_a_section_that_fails_leaves_a_note(spark):
+    from lodestone.operators.stats import overview_report
+
+    good, bad = spark.range(3), spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+    got = {r.section: (r.n, r.note) for r in overview_report({"good": good, "bad": bad.where("x is null")}).collect()}
+    assert got["good"] == (3, None) and got["bad"][0] == 0 and got["bad"][1].startswith("skipped: ")

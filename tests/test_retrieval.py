@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import retrieval as r
@@ -47,3 +48,24 @@ def test_failed_list_scorer_keeps_scores(spark):
 
 def test_fetch_limits():
     assert [r.fetch_limit(n, True) for n in (10, 50, 100)] == [27, 63, 122] and r.fetch_limit(10, False) == 10
+
+
+def test_an_index_gives_the_scores_of_the_scan(spark):
+    from lodestone.operators import retrieval as r
+
+    rows = [(f"c{i}", "r", f"f{i}.py", 1, 2, " ".join(["alpha"] * (i % 3) + ["beta"] * (i % 2) + ["Gamma!"] * i), "alpha" if i == 4 else None) for i in range(8)] + [("empty", "r", "e.py", 1, 2, None, None)]
+    chunks = spark.createDataFrame(rows, "id string, repository_id string, file_path string, start_line int, end_line int, content string, symbol_name string")
+    index = r.TextIndex(chunks)
+    for query in ("alpha", "beta gamma", "nothing", ""):
+        assert [(x.id, x.score) for x in index.bm25(chunks, query).collect()] == [(x.id, x.score) for x in r.bm25(chunks, query).collect()], query
+    assert r.TextIndex(chunks.where("false")).bm25(chunks, "alpha").count() == 0
+
+
+def test_a_port_is_asked_for_a_page_at_most(spark, monkeypatch):
+    from lodestone.operators import retrieval as r
+
+    monkeypatch.setattr(r, "LISTED", 2)
+    rows = spark.createDataFrame([(f"c{i}", None, "block", "x", float(i)) for i in range(3)], "id string, symbol_name string, node_type string, content string, score double")
+    with pytest.raises(ValueError):
+        r.rerank_listed(rows, "q", lambda q, texts: [1.0] * len(texts), 2)
+    assert [x.id for x in r.rerank_listed(rows.limit(2), "q", lambda q, texts: [0.1, 0.9], 2).collect()] == ["c0", "c1"]
