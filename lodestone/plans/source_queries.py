@@ -106,6 +106,32 @@ def ch_extract(spark, sf_dir):
     return detectors.extract(_sources(spark, sf_dir), "r").select("file_path", "line", "protocol", "role", "channel_raw")
 
 
+def _named(spark, sf_dir):
+    """Every document as two files: a module of settings, and one that calls by their names over several lines."""
+    own = view(spark, sf_dir, "chunks")
+    settings = F.concat(F.lit("const config = {\n  topic: process.env.TOPIC || 't."), "id", F.lit("',\n};\nconst U_"), "id", F.lit(" = '/u/"), "id", F.lit("';\n"))
+    calls = F.concat(F.lit("axios.get(\n  U_"), "id", F.lit(",\n);\nbus.send({\n  acks: 1,\n  topic: config.topic,\n});\nfetch(nowhere.at)\naxios.post('/p/"), "id", F.lit("')\n"))
+    both = F.array(F.struct(F.lit("s").alias("k"), settings.alias("content")), F.struct(F.lit("c").alias("k"), calls.alias("content")))
+    files = own.select("id", F.explode(both).alias("f"))
+    return files.select(F.concat("id", F.lit("."), "f.k", F.lit(".js")).alias("file_path"), F.lit("javascript").alias("language"), "f.content")
+
+
+_CALLS_MADE = "SELECT id || '.c.js' AS file_path, CAST(1 AS INT) AS line, 'http' AS protocol, {0} AS channel_raw, {1} AS resolved FROM chunks UNION ALL SELECT id || '.c.js', 4, 'kafka', 'config.topic', {2} FROM chunks UNION ALL SELECT id || '.c.js', 8, 'http', 'nowhere.at', FALSE FROM chunks UNION ALL SELECT id || '.c.js', 9, 'http', '/p/' || id, TRUE FROM chunks"
+
+
+@query("ch_unresolved", sql(_CALLS_MADE.format("'U_' || id", "FALSE", "FALSE"), "chunks"))
+def ch_unresolved(spark, sf_dir):
+    """Calls over several lines; channels given by names stay, unresolved."""
+    return detectors.extract(_named(spark, sf_dir), "r").select("file_path", "line", "protocol", "channel_raw", "resolved")
+
+
+@query("ch_resolved", sql(_CALLS_MADE.format("'/u/' || id", "TRUE", "FALSE"), "chunks"))
+def ch_resolved(spark, sf_dir):
+    """The same, with settings found in the sources; on a name with several defaults (config.topic) nothing is guessed."""
+    own = _named(spark, sf_dir)
+    return detectors.resolve_names(detectors.extract(own, "r"), own).select("file_path", "line", "protocol", "channel_raw", "resolved")
+
+
 @query("ch_detectors")
 def ch_detectors(spark, sf_dir):
     return spark.createDataFrame([(a, ",".join(b), c, d, e, f) for a, b, c, d, e, f in detectors.DETECTORS], "library string, languages string, protocol string, role string, pattern string, confidence double")

@@ -50,3 +50,36 @@ def test_a_long_file_is_one_row_until_its_chunks(spark):
     text = "\n".join(f"def f{i}():\n    return {i} + 1000\n" for i in range(2000))
     got = chunkers.parse(files(spark, [("long.py", "python", text)]), "r").agg(F.count("*"), F.max("end_line"), F.max(F.size(F.split("content", "\n")))).first()
     assert tuple(got) == (2000, 5999, 2)
+
+
+def test_endpoints_over_lines_and_by_names(spark):
+    from lodestone.sources import detectors
+
+    rows = [
+        ("kiln/settings.py", "python", "import os\n\nBATCHES = os.environ.get('BATCH_TOPIC', 'kiln.batches')\nGLAZE_URL = \"http://glaze/api/coats\"\n"),
+        ("kiln/run.py", "python", "import settings\n\ndef go(producer):\n    requests.post(\n        settings.GLAZE_URL,\n        json={},\n    )\n    producer.send(\n        BATCHES, b'')\n    producer.send('kiln.done', b'')\n    requests.get(where_to(1))\n"),
+        ("glaze/config.js", "javascript", "module.exports = {\n  topic: process.env.COATS || 'glaze.coats',\n  group: 'g',\n};\n"),
+        ("glaze/work.js", "javascript", "class Work {\n  constructor(config) {\n    this.topic = config.topic;\n  }\n  run() {\n    consumer.subscribe({\n      topics: [\n        this.topic,\n      ],\n    });\n    axios.get('/a'); axios.get('/b'); fetch(unknown)\n  }\n}\n"),
+        ("e.js", "javascript", ""),
+        ("n.js", "javascript", None),
+    ]
+    own = files(spark, rows)
+    found = detectors.extract(own, "r")
+    got = {(r.file_path, r.line, r.protocol, r.role, r.channel_raw, r.resolved) for r in found.collect()}
+    assert got == {
+        ("kiln/run.py", 4, "http", "producer", "settings.GLAZE_URL", False),
+        ("kiln/run.py", 8, "kafka", "producer", "BATCHES", False),
+        ("kiln/run.py", 10, "kafka", "producer", "kiln.done", True),
+        ("glaze/work.js", 6, "kafka", "consumer", "this.topic", False),
+        ("glaze/work.js", 11, "http", "producer", "/a", True),
+        ("glaze/work.js", 11, "http", "producer", "/b", True),
+        ("glaze/work.js", 11, "http", "producer", "unknown", False),
+    }
+    named = {r.line: (r.channel_raw, r.resolved, r.env_var) for r in detectors.resolve_names(found, own).collect() if r.role == "consumer" or r.file_path == "kiln/run.py" or r.channel_raw == "unknown"}
+    assert named == {
+        4: ("http://glaze/api/coats", True, None),
+        8: ("kiln.batches", True, "BATCH_TOPIC"),
+        10: ("kiln.done", True, None),
+        6: ("glaze.coats", True, "COATS"),
+        11: ("unknown", False, None),
+    }
