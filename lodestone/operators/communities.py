@@ -2,12 +2,14 @@
 
 Partitions are made by local moving, refinement and aggregation of modularity,
 with a fixed order of nodes, one Python task for each group of ``group``
-(a repository or a namespace); the reports around it are DataFrames. A group's
-graph has to fit a task: nothing cuts a larger one.
+(a repository or a namespace); the reports around it are DataFrames. A group of
+more than ``TASK_EDGES`` edges is cut into its connected components, which are
+partitioned apart and give the same communities; one component has to fit a task.
 """
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict, deque
 
 import pandas as pd
@@ -16,8 +18,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.names import stable_community_id
+from lodestone.storage import written
 
 MIN_FILES = 10
+TASK_EDGES = 1_000_000  # of a group that goes to a task uncut: some hundred MB there
 Graph = dict[object, dict[object, float]]
 
 
@@ -32,18 +36,23 @@ def adjacency(edges: list[tuple[object, object, float]]) -> Graph:
     return out
 
 
-def _move(graph: Graph, start: dict, gamma: float, within: dict | None = None) -> dict:
+def _move(graph: Graph, start: dict, gamma: float, within: dict | None = None, total: float | None = None, seed: int | None = None) -> dict:
     """Local moving: each node joins the neighbouring community of the largest gain, until none gains.
 
-    ``within``: moves stay inside the node's part of it (refinement).
+    ``within``: moves stay inside the node's part of it (refinement). ``total``:
+    the strength of the whole graph, where this is a part of one. ``seed``: the
+    order of nodes is shuffled by it.
     """
     part = dict(start)
     strength = {n: sum(near.values()) + near.get(n, 0.0) for n, near in graph.items()}
-    total = sum(strength.values()) or 1.0
+    total = total or sum(strength.values()) or 1.0
     mass: dict = defaultdict(float)
     for n, p in part.items():
         mass[p] += strength[n]
-    queue = deque(sorted(graph, key=str))
+    order = sorted(graph, key=str)
+    if seed is not None:
+        random.Random(seed).shuffle(order)
+    queue = deque(order)
     waiting = set(queue)
     while queue:
         n = queue.popleft()
@@ -67,13 +76,13 @@ def _move(graph: Graph, start: dict, gamma: float, within: dict | None = None) -
     return part
 
 
-def partition(graph: Graph, gamma: float = 1.0) -> dict:
+def partition(graph: Graph, gamma: float = 1.0, total: float | None = None, seed: int | None = None) -> dict:
     """Node to community, named by its least node. Communities are connected, as refinement only merges neighbours."""
     members = {n: [n] for n in graph}
     level, part = graph, {n: n for n in graph}
     while True:
-        part = _move(level, part, gamma)
-        fine = _move(level, {n: n for n in level}, gamma, part)
+        part = _move(level, part, gamma, None, total, seed)
+        fine = _move(level, {n: n for n in level}, gamma, part, total, seed)
         groups: dict = defaultdict(list)
         for n, p in fine.items():
             groups[p].append(n)
@@ -96,14 +105,46 @@ def partition(graph: Graph, gamma: float = 1.0) -> dict:
     return {x: min(xs, key=str) for xs in out.values() for x in xs}
 
 
-def detect(edges: DataFrame, group: str, gamma: float = 1.0) -> DataFrame:
+def components(edges: DataFrame, group: str) -> DataFrame:
+    """(group, member, component): connected components, each named by its least member.
+
+    Every node takes the least name among its neighbours' and then that name's
+    own, so names travel along twice as long paths in each round; a round is two joins
+    and two aggregates, whatever the number of components.
+    """
+    both = written(edges.select(group, F.col("a").alias("member"), F.col("b").alias("other")).union(edges.select(group, "b", "a")).distinct(), "ends")
+    own = written(both.groupBy(group, "member").agg(F.least(F.col("member"), F.min("other")).alias("component")), "components")
+    while True:
+        names = own.select(group, F.col("member").alias("other"), F.col("component").alias("_near"))
+        near = both.join(names, [group, "other"]).groupBy(group, "member").agg(F.min("_near").alias("_near"))
+        # a component's name goes on to the node that it named, so whole trees hook at once
+        hooked = own.join(near, [group, "member"]).withColumn("_least", F.least("component", "_near"))
+        roots = hooked.groupBy(group, F.col("component").alias("other")).agg(F.min("_least").alias("_root"))
+        new = hooked.select(group, "member", "component", F.col("_least").alias("other")).join(roots, [group, "other"], "left")
+        new = written(new.select(group, "member", F.col("component").alias("_was"), F.least("other", F.coalesce("_root", "other")).alias("component")), "components")
+        own = new.drop("_was")
+        if not new.where("component <> _was").limit(1).count():
+            return own
+
+
+def detect(edges: DataFrame, group: str, gamma: float = 1.0, task_edges: int = TASK_EDGES) -> DataFrame:
     """(group, member, community) of undirected edges (group, a, b, weight)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = partition(adjacency(list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None))), gamma)
+        total = pdf["total"].iloc[0]
+        found = partition(adjacency(list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None))), gamma, None if pd.isna(total) else float(total))
         return pd.DataFrame({group: pdf[group].iloc[0], "member": list(found), "community": list(found.values())})
 
-    return edges.groupBy(group).applyInPandas(run, f"{group} string, member string, community string")
+    schema = f"{group} string, member string, community string"
+    edges = written(edges.select(group, "a", "b", F.col("weight").cast("double").alias("weight")), "graph")
+    sizes = edges.groupBy(group).agg((F.count("*") > task_edges).alias("large"), (2 * F.sum("weight")).alias("total"))
+    if not sizes.where("large").limit(1).count():
+        return edges.withColumn("total", F.lit(None).cast("double")).groupBy(group).applyInPandas(run, schema)
+    parts = edges.join(sizes, edges[group].eqNullSafe(sizes[group])).drop(sizes[group])
+    small = parts.where("not large").withColumn("total", F.lit(None).cast("double")).drop("large").groupBy(group).applyInPandas(run, schema)
+    large = parts.where("large").drop("large")
+    own = components(large, group).withColumnRenamed("member", "a")
+    return small.unionByName(large.join(own, [group, "a"]).groupBy(group, "component").applyInPandas(run, schema))
 
 
 def clusters(members: DataFrame, group: str, prefix: str, languages: DataFrame | None = None) -> DataFrame:
@@ -150,6 +191,19 @@ def architecture(dependencies: DataFrame, group: str, most: int = 3) -> DataFram
     return dependencies.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def view_nodes(edges: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """(group, node, community, degree): of each node, the number of nodes it shares an edge with; one without has 0."""
+    ends = edges.where("from_node <> to_node").select(group, F.col("from_node").alias("node"), F.col("to_node").alias("other"))
+    both = ends.union(ends.select(group, "other", "node")).distinct().groupBy(group, "node").agg(F.count("*").alias("degree"))
+    own = members.select(group, F.col("member").alias("node"), "community")
+    return own.join(both, [group, "node"], "left").na.fill(0, ["degree"])
+
+
+def view_edges(edges: DataFrame, group: str) -> DataFrame:
+    """(group, from_node, to_node, weight, kind): of the kinds, the first by name."""
+    return edges.select(group, "from_node", "to_node", "weight", F.array_min("kinds").alias("kind"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree) over both ends of undirected edges (a, b)."""
     return edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
@@ -188,14 +242,90 @@ def layout(nodes: list[str], edges: list[tuple[str, str, float]], seed: int = 7)
     return {x: (float(a), float(b)) for x, (a, b) in zip(nodes, at, strict=True)}
 
 
-def couplings(edges: DataFrame, group: str, ladder: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0), nearest: int = 8) -> DataFrame:
-    """Nodes that hold communities together: how often their community splits once they are taken out.
+def _cut(graph: Graph, source: object, sink: object) -> list[tuple[object, object, float]]:
+    """The edges of a minimum cut between two nodes: shortest augmenting paths until none is left."""
+    room = {n: dict(near) for n, near in graph.items()}
+    while True:
+        came, queue = {source: source}, deque([source])
+        while queue and sink not in came:
+            n = queue.popleft()
+            for m in sorted(room[n], key=str):
+                if room[n][m] > 1e-12 and m not in came:
+                    came[m] = n
+                    queue.append(m)
+        if sink not in came:
+            return [(n, m, w) for n in came for m, w in graph[n].items() if m not in came]
+        path, n = [], sink
+        while n != source:
+            path.append((came[n], n))
+            n = came[n]
+        flow = min(room[a][b] for a, b in path)
+        for a, b in path:
+            room[a][b] -= flow
+            room[b][a] = room[b].get(a, 0.0) + flow
+
+
+def _candidates(inner: Graph, fine: dict) -> dict[object, tuple[float, float]]:
+    """(cut share, participation) of each node between the two largest parts of a community.
+
+    The parts' inner ends are joined to one node each by edges too strong to be
+    cut, except for the nodes at the border, whose edges the cut can go through.
+    """
+    size: dict = defaultdict(int)
+    for p in fine.values():
+        size[p] += 1
+    first, second = sorted(size, key=lambda p: (-size[p], str(p)))[:2]
+    border = {n for n in inner if any(fine[m] != fine[n] for m in inner[n])}
+    ends = {first: ("end", 0), second: ("end", 1)}
+    whole: Graph = {n: {m: w for m, w in near.items() if m != n} for n, near in inner.items()}
+    huge = 1 + sum(sum(near.values()) for near in whole.values())
+    for p, end in ends.items():
+        own = [n for n in whole if fine.get(n) == p]
+        for n in [n for n in own if n not in border] or own:
+            whole.setdefault(end, {})[n] = huge
+            whole[n][end] = huge
+    cut = _cut(whole, *ends.values())
+    weight = sum(w for *_, w in cut) or 1.0
+    share: dict = defaultdict(float)
+    for a, b, w in cut:
+        share[a] += w / weight
+        share[b] += w / weight
+    out = {}
+    for n, near in inner.items():
+        by: dict = defaultdict(float)
+        for m, w in near.items():
+            by[fine[m]] += w
+        strength = sum(by.values()) or 1.0
+        out[n] = (min(share[n], 1.0), 1 - sum((w / strength) ** 2 for w in by.values()))
+    return out
+
 
-    For each community, its nodes with most links to other parts of it are
-    ablated; the strength is the share of the ladder's resolutions at which the
-    rest falls apart, less the share at which the whole does.
+def couplings(edges: DataFrame, group: str, ladder: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0, 1.5, 2.0), nearest: int = 8, seeds: int = 4) -> DataFrame:
+    """Nodes that hold communities together: how much oftener their community separates once they are taken out.
+
+    A community that separates into two parts of more than a node at no
+    resolution of the ladder is skipped; one that separates first at a higher one is fragile, and names
+    its two largest parts there. Its nodes are ranked by their share of the
+    minimum cut between these and by participation; the ``nearest`` best are
+    taken out one by one (a verification of candidates, so ``nearest`` bounds a
+    report, as a top-k does), and the rest is partitioned under ``seeds`` orders of
+    nodes at each resolution. ``split_probability``: the share of runs at the
+    resolution of most effect in which the parts separate, ``baseline`` the same share with
+    the node there, ``strength`` their difference; ``gamma_low`` and
+    ``gamma_high``: the resolutions between which there is one.
     """
 
+    def apart(graph: Graph, gamma: float, a: set, b: set) -> float:
+        """The share of seeds by which most of one part shares no community with most of the other."""
+        split = 0
+        for seed in range(seeds):
+            found = partition(graph, gamma, seed=seed)
+            main = [max(sorted({found[n] for n in part if n in found}, key=str), key=lambda c, p=part: sum(found.get(n) == c for n in p), default=None) for part in (a, b)]
+            split += main[0] != main[1]
+        return split / seeds
+
+    columns = ("split_probability", "baseline", "strength", "cut_share", "participation", "gamma_low", "gamma_high")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         graph = adjacency(list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None)))
         groups: dict = defaultdict(set)
@@ -204,17 +334,29 @@ def couplings(edges: DataFrame, group: str, ladder: tuple[float, ...] = (0.2, 0.
         rows = []
         for c, nodes in sorted(groups.items(), key=lambda x: str(x[0])):
             inner = {n: {m: w for m, w in graph[n].items() if m in nodes} for n in nodes}
-            fine = partition(inner, 1.0)
-            splits = lambda g: sum(len(set(partition(g, x).values())) > 1 for x in ladder) / len(ladder)
-            base = splits(inner)
-            spread = {n: len({fine[m] for m in inner[n] if m != n}) for n in nodes}
-            for n in sorted(nodes, key=lambda n: (-spread[n], -len(inner[n]), str(n)))[:nearest]:
+            for gamma in ladder:
+                fine = partition(inner, gamma)
+                if len([n for n in pd.Series(fine).value_counts() if n > 1]) > 1:
+                    break
+            else:
+                continue
+            scores = _candidates(inner, fine)
+            size = pd.Series(fine).value_counts()
+            first, second = sorted(size.index, key=lambda p: (-size[p], str(p)))[:2]
+            parts = [{n for n in fine if fine[n] == p} for p in (first, second)]
+            base = {g: apart(inner, g, *parts) for g in ladder}
+            for n in sorted((n for n in nodes if max(scores[n]) > 0), key=lambda n: (-sum(scores[n]), str(n)))[:nearest]:
                 rest = {m: {k: w for k, w in near.items() if k != n} for m, near in inner.items() if m != n}
-                if spread[n] > 1 and rest:
-                    rows.append((pdf[group].iloc[0], c, n, splits(rest), base, splits(rest) - base))
-        return pd.DataFrame(rows, columns=[group, "community", "node", "split_probability", "baseline", "strength"])
-
-    return edges.groupBy(group).applyInPandas(run, f"{group} string, community string, node string, split_probability double, baseline double, strength double")
+                a, b = (p - {n} for p in parts)
+                if not a or not b:
+                    continue
+                gone = {g: apart(rest, g, a, b) for g in ladder}
+                best = max(ladder, key=lambda g: (gone[g] - base[g], -g))
+                moved = [g for g in ladder if gone[g] > base[g]] or [None]
+                rows.append((pdf[group].iloc[0], c, n, gone[best], base[best], gone[best] - base[best], *(round(x, 6) for x in scores[n]), moved[0], moved[-1]))
+        return pd.DataFrame(rows, columns=[group, "community", "node", *columns])
+
+    return edges.groupBy(group).applyInPandas(run, f"{group} string, community string, node string, {', '.join(f'{c} double' for c in columns)}")
 
 
 def facade_split(edges: DataFrame, group: str, percentile: float = 99.0) -> DataFrame:

@@ -358,6 +358,16 @@ def graph_view(spark, sf_dir):
     return cm.degrees(_undirected(_grouped(spark, sf_dir)[0]))
 
 
+@query("graph_view_nodes", sql(f"{_COMM}, un AS (SELECT DISTINCT repository_id, fn AS a, tn AS b FROM ed UNION SELECT repository_id, tn, fn FROM ed), nd AS (SELECT repository_id, a AS node, count(*) AS degree FROM un GROUP BY ALL) SELECT *, split_part(node, '/', 1) || '/' || split_part(node, '/', 2) AS community FROM nd", "refs"))
+def graph_view_nodes(spark, sf_dir):
+    return cm.view_nodes(*_fixed(spark, sf_dir), "repository_id")
+
+
+@query("graph_view_edges", sql(f"{_FILES} SELECT from_repository AS repository_id, from_file AS from_node, to_file AS to_node, weight::DOUBLE AS weight, split_part(kinds, ',', 1) AS kind FROM fgr", "refs"))
+def graph_view_edges(spark, sf_dir):
+    return cm.view_edges(_grouped(spark, sf_dir)[0], "repository_id")
+
+
 @query("meta_graph", sql(f"{_COMM} SELECT repository_id, least(fc, tc) AS a, greatest(fc, tc) AS b, count(*) AS weight FROM ed WHERE fc <> tc GROUP BY ALL", "refs"))
 def meta_graph(spark, sf_dir):
     return cm.meta_graph(cm.crossing(*_fixed(spark, sf_dir), "repository_id"), "repository_id")

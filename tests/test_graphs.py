@@ -134,3 +134,39 @@ def test_a_section_that_fails_leaves_a_note(spark):
     good, bad = spark.range(3), spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
     got = {r.section: (r.n, r.note) for r in overview_report({"good": good, "bad": bad.where("x is null")}).collect()}
     assert got["good"] == (3, None) and got["bad"][0] == 0 and got["bad"][1].startswith("skipped: ")
+
+
+def test_large_groups_are_cut_by_components(spark):
+    import random
+
+    dice = random.Random(3)
+    rows = []
+    for part in range(5):
+        rows += [("g", f"{part}.{i}", f"{part}.{dice.randrange(i)}", float(dice.randint(1, 3))) for i in range(1, 40)]
+        rows += [("g", f"{part}.{dice.randrange(40)}", f"{part}.{dice.randrange(40)}", 1.0) for _ in range(30)]
+    rows += [("g", f"line{i:03d}", f"line{i + 1:03d}", 1.0) for i in range(60)] + [("h", "0.0", "0.1", 1.0), ("h", "self", "self", 2.0)]
+    df = spark.createDataFrame(rows, "g string, a string, b string, weight double")
+    got = {(r.g, r.member): r.component for r in cm.components(df, "g").collect()}
+    want = {**{("g", f"{p}.{i}"): f"{p}.0" for p in range(5) for i in range(40)}, **{("g", f"line{i:03d}"): "line000" for i in range(61)}, ("h", "0.0"): "0.0", ("h", "0.1"): "0.0", ("h", "self"): "self"}
+    assert got == want
+    rows_of = lambda n: sorted(map(tuple, cm.detect(df, "g", task_edges=n).collect()))
+    assert rows_of(10) == rows_of(10**6)
+    assert cm.detect(df.where("false"), "g").count() == 0
+
+
+def test_a_minimum_cut_is_found():
+    ring = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i in range(5) for j in range(i)]
+    graph = cm.adjacency([*ring("a"), *ring("b"), ("a0", "b0", 0.5), ("a1", "b0", 0.25)])
+    assert sorted(cm._cut(graph, "a4", "b4")) == [("a0", "b0", 0.5), ("a1", "b0", 0.25)]
+    fine = {n: n[0] for n in graph}
+    scores = cm._candidates(graph, fine)
+    assert scores["b0"][0] == 1.0 and max(scores, key=lambda n: sum(scores[n])) == "b0" and scores["a3"] == (0.0, 0.0)
+
+
+def test_couplings_are_the_same_on_a_rerun_and_skip_whole_communities(spark):
+    clique = lambda p, n=6: [("r", f"{p}{i}", f"{p}{j}", 1.0) for i in range(n) for j in range(i)]
+    df = spark.createDataFrame([*clique("x"), *clique("y"), *(("r", "glue", f"{p}{i}", 1.0) for p in "xy" for i in range(6)), *clique("solo")], "g string, a string, b string, weight double")
+    one, two = (sorted(map(tuple, cm.couplings(df, "g").collect())) for _ in range(2))
+    assert one == two and not [r for r in one if r[2].startswith("solo")]
+    best = max(one, key=lambda r: r[5])
+    assert best[2] == "glue" and best[5] >= 0.5 and best[8] is not None

@@ -83,3 +83,19 @@ def test_endpoints_over_lines_and_by_names(spark):
         6: ("glaze.coats", True, "COATS"),
         11: ("unknown", False, None),
     }
+
+
+def test_walk_follows_the_ignore_files_of_the_tree(spark, tmp_path):
+    from lodestone.sources import walk
+
+    for name, text in {
+        "a.py": "x", "pkg/__init__.py": "y", "_tools/_gen/make.rs": "z", ".hid/b.py": "", "pkg/.c.py": "", "notes.txt": "", "odd name%20.py": "o",
+        ".gitignore": "/build/\n*.gen.py\n!keep.gen.py\n", "build/d.py": "d", "pkg/e.gen.py": "", "pkg/keep.gen.py": "k",
+        "pkg/.gitignore": "local.py\n/top.py\n!e2.gen.py\n", "pkg/local.py": "", "local.py": "l", "pkg/top.py": "", "pkg/sub/top.py": "t", "pkg/e2.gen.py": "e", "vendor/v.py": "",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.file_path: r.content for r in walk.source_files(spark, str(tmp_path), ["vendor/"]).collect()}
+    assert got == {"a.py": "x", "pkg/__init__.py": "y", "_tools/_gen/make.rs": "z", "odd name%20.py": "o", "pkg/keep.gen.py": "k", "local.py": "l", "pkg/sub/top.py": "t", "pkg/e2.gen.py": "e"}
+    every = [r.file_path for r in walk.source_files(spark, str(tmp_path), tree_rules=False).collect()]
+    assert "build/d.py" in every and "vendor/v.py" in every and len(every) == len(set(every)) == 13
