@@ -49,7 +49,7 @@ def _move(graph: Graph, start: dict, gamma: float, within: dict | None = None, t
     mass: dict = defaultdict(float)
     for n, p in part.items():
         mass[p] += strength[n]
-    order = sorted(graph, key=str)
+    order = sorted(graph)
     if seed is not None:
         random.Random(seed).shuffle(order)
     queue = deque(order)
@@ -57,19 +57,26 @@ def _move(graph: Graph, start: dict, gamma: float, within: dict | None = None, t
     while queue:
         n = queue.popleft()
         waiting.discard(n)
-        own = part[n]
+        own = best = part[n]
         mass[own] -= strength[n]
-        links: dict = defaultdict(float)
+        cost = gamma * strength[n] / total
+        here = within[n] if within else None
+        links: dict = {}
         for m, w in graph[n].items():
-            if m != n and (within is None or within[m] == within[n]):
-                links[part[m]] += w
-        gain = lambda p: links.get(p, 0.0) - gamma * strength[n] * mass[p] / total  # noqa: B023, E731
-        best = max([own, *links], key=lambda p: (gain(p), p == own, str(p)))
-        best = best if gain(best) > gain(own) + 1e-12 else own
+            if m != n and (within is None or within[m] == here):
+                p = part[m]
+                links[p] = links.get(p, 0.0) + w
+        stay = top = links.get(own, 0.0) - cost * mass[own]
+        for p, w in links.items():
+            gain = w - cost * mass[p]
+            if gain > top or (gain == top and best != own and p > best):
+                best, top = p, gain
+        if top <= stay + 1e-12:
+            best = own
         part[n] = best
         mass[best] += strength[n]
         if best != own:
-            for m in sorted(graph[n], key=str):
+            for m in sorted(graph[n]):
                 if part[m] != best and m not in waiting:
                     waiting.add(m)
                     queue.append(m)
@@ -78,8 +85,11 @@ def _move(graph: Graph, start: dict, gamma: float, within: dict | None = None, t
 
 def partition(graph: Graph, gamma: float = 1.0, total: float | None = None, seed: int | None = None) -> dict:
     """Node to community, named by its least node. Communities are connected, as refinement only merges neighbours."""
-    members = {n: [n] for n in graph}
-    level, part = graph, {n: n for n in graph}
+    names = sorted(graph, key=str)
+    number = {n: i for i, n in enumerate(names)}  # numbers keep the names' order and compare faster
+    members = {i: [i] for i in range(len(names))}
+    level = {number[n]: {number[m]: w for m, w in near.items()} for n, near in graph.items()}
+    part = {n: n for n in level}
     while True:
         part = _move(level, part, gamma, None, total, seed)
         fine = _move(level, {n: n for n in level}, gamma, part, total, seed)
@@ -102,7 +112,7 @@ def partition(graph: Graph, gamma: float = 1.0, total: float | None = None, seed
     out: dict = defaultdict(list)
     for n, p in part.items():
         out[p] += members[n]
-    return {x: min(xs, key=str) for xs in out.values() for x in xs}
+    return {names[x]: names[min(xs)] for xs in out.values() for x in xs}
 
 
 def components(edges: DataFrame, group: str) -> DataFrame:
@@ -324,9 +334,10 @@ def couplings(edges: DataFrame, group: str, ladder: tuple[float, ...] = (0.2, 0.
             split += main[0] != main[1]
         return split / seeds
 
-    columns = ("split_probability", "baseline", "strength", "cut_share", "participation", "gamma_low", "gamma_high")
+    edge_lists = "a array<string>, b array<string>, weight array<double>"
+    shape = f"{group} string, community string, {edge_lists}, first array<string>, second array<string>, baseline array<double>, node string, cut_share double, participation double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         graph = adjacency(list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None)))
         groups: dict = defaultdict(set)
         for n, c in partition(graph, ladder[0]).items():
@@ -343,20 +354,34 @@ def couplings(edges: DataFrame, group: str, ladder: tuple[float, ...] = (0.2, 0.
             scores = _candidates(inner, fine)
             size = pd.Series(fine).value_counts()
             first, second = sorted(size.index, key=lambda p: (-size[p], str(p)))[:2]
-            parts = [{n for n in fine if fine[n] == p} for p in (first, second)]
-            base = {g: apart(inner, g, *parts) for g in ladder}
-            for n in sorted((n for n in nodes if max(scores[n]) > 0), key=lambda n: (-sum(scores[n]), str(n)))[:nearest]:
-                rest = {m: {k: w for k, w in near.items() if k != n} for m, near in inner.items() if m != n}
-                a, b = (p - {n} for p in parts)
+            parts = [sorted((n for n in fine if fine[n] == p), key=str) for p in (first, second)]
+            base = [apart(inner, g, *map(set, parts)) for g in ladder]
+            own = list(zip(*((n, m, w) for n, near in inner.items() for m, w in near.items() if str(n) <= str(m)), strict=True)) or [(), (), ()]
+            best = sorted((n for n in nodes if max(scores[n]) > 0), key=lambda n: (-sum(scores[n]), str(n)))[:nearest]
+            rows += [(pdf[group].iloc[0], c, *map(list, own), *parts, base, n, *(round(x, 6) for x in scores[n])) for n in best]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in shape.split(", ")])
+
+    found = ("split_probability", "baseline", "strength", "cut_share", "participation", "gamma_low", "gamma_high")
+
+    def ablate(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                rest = adjacency([e for e in zip(r.a, r.b, r.weight, strict=True) if r.node not in e[:2]])
+                a, b = set(r.first) - {r.node}, set(r.second) - {r.node}
                 if not a or not b:
                     continue
-                gone = {g: apart(rest, g, a, b) for g in ladder}
-                best = max(ladder, key=lambda g: (gone[g] - base[g], -g))
+                base = dict(zip(ladder, r.baseline, strict=True))
+                # where the parts always separate, nothing is left to gain
+                gone = {g: apart(rest, g, a, b) if base[g] < 1 else base[g] for g in ladder}
+                best = max(ladder, key=lambda g: (gone[g] - base[g], -g))  # noqa: B023
                 moved = [g for g in ladder if gone[g] > base[g]] or [None]
-                rows.append((pdf[group].iloc[0], c, n, gone[best], base[best], gone[best] - base[best], *(round(x, 6) for x in scores[n]), moved[0], moved[-1]))
-        return pd.DataFrame(rows, columns=[group, "community", "node", *columns])
+                rows.append((getattr(r, group), r.community, r.node, gone[best], base[best], gone[best] - base[best], r.cut_share, r.participation, moved[0], moved[-1]))
+            yield pd.DataFrame(rows, columns=[group, "community", "node", *found])
 
-    return edges.groupBy(group).applyInPandas(run, f"{group} string, community string, node string, {', '.join(f'{c} double' for c in columns)}")
+    listed = written(edges.groupBy(group).applyInPandas(candidates, shape), "candidates")
+    tasks = listed.repartition(edges.sparkSession.sparkContext.defaultParallelism, group, "community", "node")
+    return tasks.mapInPandas(ablate, f"{group} string, community string, node string, {', '.join(f'{c} double' for c in found)}")
 
 
 def facade_split(edges: DataFrame, group: str, percentile: float = 99.0) -> DataFrame:
