@@ -253,26 +253,40 @@ def layout(nodes: list[str], edges: list[tuple[str, str, float]], seed: int = 7)
 
 
 def _cut(graph: Graph, source: object, sink: object) -> list[tuple[object, object, float]]:
-    """The edges of a minimum cut between two nodes: shortest augmenting paths until none is left."""
+    """The edges of a minimum cut between two nodes of an undirected graph: blocking flows over shortest paths until none is left."""
     room = {n: dict(near) for n, near in graph.items()}
+    near = {n: list(x) for n, x in room.items()}
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             n = queue.popleft()
-            for m in sorted(room[n], key=str):
-                if room[n][m] > 1e-12 and m not in came:
-                    came[m] = n
+            for m in near[n]:
+                if m not in level and room[n][m] > 1e-12:
+                    level[m] = level[n] + 1
                     queue.append(m)
-        if sink not in came:
-            return [(n, m, w) for n in came for m, w in graph[n].items() if m not in came]
-        path, n = [], sink
-        while n != source:
-            path.append((came[n], n))
-            n = came[n]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] = room[b].get(a, 0.0) + flow
+        if sink not in level:
+            return [(n, m, w) for n in level for m, w in graph[n].items() if m not in level]
+        at, path = dict.fromkeys(level, 0), [source]
+        while path:
+            n = path[-1]
+            if n == sink:
+                steps = list(zip(path, path[1:], strict=False))
+                flow = min(room[a][b] for a, b in steps)
+                for a, b in steps:
+                    room[a][b] -= flow
+                    room[b][a] += flow
+                path = [source]
+                continue
+            while at[n] < len(near[n]):
+                m = near[n][at[n]]
+                if room[n][m] > 1e-12 and level.get(m, -1) == level[n] + 1:
+                    path.append(m)
+                    break
+                at[n] += 1
+            else:
+                path.pop()
+                if path:
+                    at[path[-1]] += 1
 
 
 def _candidates(inner: Graph, fine: dict) -> dict[object, tuple[float, float]]:
