@@ -63,9 +63,9 @@ def _sides(endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
 def distinct_channels(endpoints: DataFrame) -> DataFrame:
     """(producer_channel, consumer_channel, protocol) that match, over distinct channel names.
 
-    HTTP names of as many segments meet on their first fixed segment, or on the
-    wild one where the first is a parameter; patterns of other protocols meet
-    topics likewise. So names meet names, never sites sites.
+    HTTP names of as many segments meet on their first two segments, whether
+    fixed or parameters; patterns of other protocols meet topics by the first
+    one. So names meet names, never sites sites.
     """
     own = endpoints.where("resolved").select("protocol", "role", F.col("channel_normalized").alias("name"), "is_pattern").distinct()
     own = written(own, "channels")  # read by each of the joins below
@@ -75,16 +75,18 @@ def distinct_channels(endpoints: DataFrame) -> DataFrame:
 
     same = left(p.where("protocol <> 'http'")).withColumn("name", F.col("p_name")).join(right(c.where("protocol <> 'http' and not is_pattern")).withColumn("name", F.col("c_name")), ["protocol", "name"])
 
-    # routes: as many segments, and an equal first segment unless one of them is a parameter
-    head = lambda c: F.coalesce(F.get(segments(F.col(c)), F.lit(0)), F.lit(""))
-    size = lambda c: F.size(segments(F.col(c)))
-    keys = lambda c, other: F.when(head(c) == "{}", F.array(F.lit("{}"))).otherwise(F.array(head(c), F.lit("{}")) if other else F.array(head(c)))
+    # Routes: as many segments, and first and second ones that agree or of which one is a parameter. A producer goes by
+    # its own segment and by ANY; a consumer by its own and by the parameter, or by ANY alone where it is one itself: each
+    # pair meets once.
+    at = lambda c, i: F.coalesce(F.get(segments(F.col(c)), F.lit(i)), F.lit(""))
+    any_, wild_ = F.lit("\0any"), F.lit("{}")
+    of_p = lambda i: F.explode(F.array(at("p_name", i), any_)).alias(f"k{i}")
+    of_c = lambda i: F.explode(F.when(at("c_name", i) == wild_, F.array(any_)).otherwise(F.array(at("c_name", i), wild_))).alias(f"k{i}")
     routes_p, routes_c = left(p.where("protocol = 'http'")), right(c.where("protocol = 'http'"))
-    fixed = routes_p.withColumn("n", size("p_name")).withColumn("k", head("p_name")).join(routes_c.withColumn("n", size("c_name")).withColumn("k", F.explode(keys("c_name", False))), ["protocol", "n", "k"])
-    loose_p = routes_p.withColumn("n", size("p_name")).where(head("p_name") == "{}").join(routes_c.withColumn("n", size("c_name")).where(head("c_name") != "{}"), ["protocol", "n"])
-    loose_c = routes_p.withColumn("n", size("p_name")).where(head("p_name") != "{}").join(routes_c.withColumn("n", size("c_name")).where(head("c_name") == "{}"), ["protocol", "n"])
+    routes_p = routes_p.select("*", F.size(segments(F.col("p_name"))).alias("n"), of_p(0)).select("*", of_p(1))
+    routes_c = routes_c.select("*", F.size(segments(F.col("c_name"))).alias("n"), of_c(0)).select("*", of_c(1))
     names = ["protocol", "p_name", "c_name"]
-    routes = fixed.select(names).unionByName(loose_p.select(names)).unionByName(loose_c.select(names)).where(route_matches(F.col("p_name"), F.col("c_name")))
+    routes = routes_p.join(routes_c, ["protocol", "n", "k0", "k1"]).select(names).where(route_matches(F.col("p_name"), F.col("c_name")))
 
     # patterns against topics, by the first segment where the pattern fixes it
     first = lambda c: F.get(F.split(F.col(c), "/"), F.lit(0))
@@ -102,6 +104,7 @@ def pairs(endpoints: DataFrame) -> DataFrame:
     Sites are gathered by file and channel name first, so a channel with many
     sites in a file costs one row on either side.
     """
+    endpoints = written(endpoints.where("resolved").select(*_SITE, "role", "resolved"), "endpoints")  # names are normalised once
     p, c = _sides(endpoints)
     best = lambda x: F.max_by(F.struct(F.col(f"{x}_line").alias("line"), F.col(f"{x}_enclosing_symbol").alias("symbol"), F.col(f"{x}_confidence").alias("confidence")), F.struct(f"{x}_confidence", -F.col(f"{x}_line"), f"{x}_id"))
     at = lambda x: (f"{x}_repository_id", f"{x}_file_path", f"{x}_protocol", f"{x}_channel_normalized")

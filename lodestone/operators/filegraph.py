@@ -31,8 +31,8 @@ def resolve_callee(references: DataFrame, index: DataFrame) -> DataFrame:
     return out.drop("_c", "_base", "_f", "_r", "_bf", "_br")
 
 
-def file_graph(references: DataFrame, index: DataFrame | None = None, min_weight: int = 1, cross: bool = True) -> DataFrame:
-    """Directed edges between files with weight (references), distinct kinds and distinct symbols."""
+def file_graph(references: DataFrame, index: DataFrame | None = None, min_weight: int = 1, cross: bool = True, symbols: bool = True) -> DataFrame:
+    """Directed edges between files with weight (references), distinct kinds and, unless ``symbols`` is off, distinct symbols."""
     own = references.withColumn("target_file", F.when(F.col("reference_file_path") != F.col("caller_file_path"), F.col("reference_file_path")))
     own = own.withColumn("target_repository", F.when(F.col("target_file").isNotNull(), F.col("repository_id")))
     if index is not None:
@@ -42,7 +42,8 @@ def file_graph(references: DataFrame, index: DataFrame | None = None, min_weight
     if not cross:
         own = own.where("target_repository = repository_id")
     keys = [F.col("caller_file_path").alias("from_file"), F.col("repository_id").alias("from_repository"), F.col("target_file").alias("to_file"), F.col("target_repository").alias("to_repository")]
-    out = own.groupBy(*keys).agg(F.count("*").alias("weight"), F.sort_array(F.collect_set("reference_kind")).alias("kinds"), F.sort_array(F.collect_set("callee_symbol")).alias("symbols"))
+    named = [F.sort_array(F.collect_set("callee_symbol")).alias("symbols")] if symbols else []
+    out = own.groupBy(*keys).agg(F.count("*").alias("weight"), F.sort_array(F.collect_set("reference_kind")).alias("kinds"), *named)
     return out.where(F.col("weight") >= min_weight)
 
 
@@ -54,7 +55,7 @@ def repository_labels(repositories: DataFrame) -> DataFrame:
     """(id, label): the name, with the first characters of the id where names collide."""
     same = repositories.groupBy("name").agg(F.count("*").alias("_n"))
     label = F.when(F.col("_n") > 1, F.concat("name", F.lit("-"), F.substring("id", 1, 8))).otherwise(F.col("name"))
-    return repositories.join(F.broadcast(same), "name").select("id", label.alias("label"))
+    return repositories.join(same, "name").select("id", label.alias("label"))
 
 
 def qualified_graph(graph: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def qualified_graph(graph: DataFrame, repositories: DataFrame) -> DataFrame:
     labels = repository_labels(repositories)
     out = graph
     for side in ("from", "to"):
-        named = F.broadcast(labels.select(F.col("id").alias(f"{side}_repository"), F.col("label").alias("_label")))
+        named = labels.select(F.col("id").alias(f"{side}_repository"), F.col("label").alias("_label"))
         out = out.join(named, f"{side}_repository").withColumn(f"{side}_file", F.concat("_label", F.lit(":"), f"{side}_file")).drop("_label")
     return out
 

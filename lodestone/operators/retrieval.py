@@ -227,7 +227,8 @@ def rerank(results: DataFrame, query: str, scorer: Callable[[str, Column], Colum
 
 def hash_scorer(query: str, text: Column) -> Column:
     """A stand-in for a model: a number from 0 to 1 that depends on query and text alone."""
-    return F.pmod(F.crc32(F.encode(F.concat(F.lit(query), text), "UTF-8")), F.lit(10000)) / 10000.0
+    digest = F.sha2(F.encode(F.concat(F.lit(query), text), "UTF-8"), 256)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10000 / 10000.0
 
 
 def rerank_listed(results: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]], limit: int) -> DataFrame:

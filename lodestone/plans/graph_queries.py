@@ -228,13 +228,13 @@ def _joined(df):
     return df.withColumn("kinds", F.array_join("kinds", ",")).withColumn("symbols", F.array_join("symbols", ","))
 
 
-def _files(spark, sf_dir):
-    return fg.file_graph(refs(spark, sf_dir))
+def _files(spark, sf_dir, symbols=False):
+    return fg.file_graph(refs(spark, sf_dir), symbols=symbols)
 
 
 @query("file_graph", sql(f"{_FILES} SELECT from_file, from_repository, to_file, to_repository, weight, kinds, symbols FROM fgr", "refs"))
 def file_graph(spark, sf_dir):
-    return _joined(_files(spark, sf_dir))
+    return _joined(_files(spark, sf_dir, True))
 
 
 @query("uses", sql(f"{_FILES} SELECT from_file, to_file, weight FROM fgr WHERE from_repository = 'r1' AND to_repository = 'r1'", "refs"))
@@ -398,7 +398,7 @@ def naming(spark, sf_dir):
 @query("ns_communities")
 def ns_communities(spark, sf_dir):
     names = view(spark, sf_dir, "repositories").select(F.col("id").alias("repository_id"), "namespace")
-    edges = fg.undirected_symbols(refs(spark, sf_dir)).join(F.broadcast(names), "repository_id").groupBy("namespace", "a", "b").agg(F.sum("weight").alias("weight"))
+    edges = fg.undirected_symbols(refs(spark, sf_dir)).join(names, "repository_id").groupBy("namespace", "a", "b").agg(F.sum("weight").alias("weight"))
     return cm.clusters(cm.detect(edges, "namespace"), "namespace", "community").withColumn("members", F.array_join("members", ","))
 
 

@@ -132,7 +132,14 @@ def _definitions(chunks, references):
     )
 
 
-@query("graph_expand")
+_IMPACT = "('call', 'method_call', 'instantiation', 'macro_invocation', 'implementation', 'inheritance')"
+
+
+@query("graph_expand", sql(f"""+ defs AS (SELECT DISTINCT 'd' || callee_symbol AS id, callee_symbol AS name FROM refs), seeds AS (SELECT name AS seed FROM defs WHERE contains(lower(name), 'm20') ORDER BY id LIMIT 5),
+ed AS (SELECT * FROM refs WHERE reference_kind IN {_IMPACT} AND caller_symbol IS NOT NULL), nr AS (SELECT *, row_number() OVER (PARTITION BY seed, side ORDER BY reference_file_path, reference_line, id) AS n FROM (
+SELECT seed, 'up' AS side, caller_symbol AS symbol, reference_file_path, reference_line, id FROM ed JOIN seeds ON callee_symbol = seed UNION ALL SELECT seed, 'down', callee_symbol, reference_file_path, reference_line, id FROM ed JOIN seeds ON caller_symbol = seed)),
+ag AS (SELECT symbol, count(DISTINCT seed) AS seeds, count(*) AS edges FROM nr WHERE n <= 25 AND symbol NOT IN (SELECT seed FROM seeds) GROUP BY symbol)
+SELECT id, seeds + edges / 1000.0::DOUBLE AS score FROM ag JOIN defs ON name = symbol ORDER BY seeds DESC, edges DESC, symbol LIMIT 20""", "refs"))
 def graph_expand(spark, sf_dir):
     references = view(spark, sf_dir, "refs")
     chunks = _definitions(None, references)
@@ -141,19 +148,24 @@ def graph_expand(spark, sf_dir):
     return r.graph_expand(seeds, references, short).select(*SHOWN)
 
 
-@query("rerank")
+_HASHED = f"(('0x' || left(sha256('{TEXT}' || coalesce(symbol_name, '') || ' [' || node_type || '] ' || content), 8))::BIGINT % 10000) / 10000.0::DOUBLE"
+_RERANKED = "SELECT id, h AS score FROM (SELECT id, {0} AS h FROM {1} JOIN (SELECT id, symbol_name, node_type, content FROM chunks) USING (id) ORDER BY h DESC, id LIMIT {2}) {3}"
+
+
+@query("rerank", sql(_RERANKED.format(_HASHED, _knn(20), 10, ""), "chunks", "vectors"))
 def rerank(spark, sf_dir):
     chunks, vectors = _tables(spark, sf_dir)
     return r.rerank(r.knn_scan(chunks, vectors, _target(vectors), 20), TEXT, r.hash_scorer, 10).select(*SHOWN)
 
 
-@query("post_floor")
+@query("post_floor", sql(_RERANKED.format(_HASHED, _knn(20), 20, "WHERE h >= 0.1"), "chunks", "vectors"))
 def post_floor(spark, sf_dir):
     chunks, vectors = _tables(spark, sf_dir)
     return r.rerank(r.knn_scan(chunks, vectors, _target(vectors), 20), TEXT, r.hash_scorer, 20).where(F.col("score") >= r.FLOOR).select(*SHOWN)
 
 
-@query("search")
+# words are no symbols of the references here, so no graph leg comes in; graph_expand has a twin of its own
+@query("search", sql(_RERANKED.format(_HASHED, _rrf([_knn(27), _BM25], 27), 10, "WHERE h >= 0.1"), "chunks", "vectors"))
 def search(spark, sf_dir):
     chunks, vectors = _tables(spark, sf_dir)
     return r.search(chunks, vectors, view(spark, sf_dir, "refs"), _target(vectors), TEXT, 10, r.hash_scorer).select(*SHOWN)
@@ -225,6 +237,8 @@ def rerank_llm(spark, sf_dir):
     return r.rerank_listed(found, TEXT, lambda _, texts: [len(t.split("] ", 1)[1]) for t in texts], 10).select(*SHOWN)
 
 
-@query("rerank_mock")
+@query("rerank_mock", sql(_RERANKED.format(_HASHED.replace(TEXT, "another query"), _knn(50), 50, ""), "chunks", "vectors"))
 def rerank_mock(spark, sf_dir):
-    return rerank(spark, sf_dir)
+    """The scorer that stands in for a model, over all of fifty results."""
+    chunks, vectors = _tables(spark, sf_dir)
+    return r.rerank(r.knn_scan(chunks, vectors, _target(vectors), 50), "another query", r.hash_scorer, 50).select(*SHOWN)
