@@ -274,10 +274,14 @@ def symbol_graph(spark, sf_dir):
 
 # communities: those of the file graph by repository
 
-def _grouped(spark, sf_dir):
-    """Directed edges (repository_id, from_node, to_node, weight) and the members of their communities."""
-    edges = _files(spark, sf_dir).where("from_repository = to_repository").select(F.col("from_repository").alias("repository_id"), F.col("from_file").alias("from_node"), F.col("to_file").alias("to_node"), F.col("weight").cast("double").alias("weight"), "kinds")
-    return edges, cm.singletons(cm.detect(_undirected(edges), "repository_id"), "repository_id")
+def _edges(spark, sf_dir):
+    """Directed edges (repository_id, from_node, to_node, weight, kinds)."""
+    return _files(spark, sf_dir).where("from_repository = to_repository").select(F.col("from_repository").alias("repository_id"), F.col("from_file").alias("from_node"), F.col("to_file").alias("to_node"), F.col("weight").cast("double").alias("weight"), "kinds")
+
+
+def _members(spark, sf_dir):
+    """The members of their communities."""
+    return cm.singletons(cm.detect(_undirected(_edges(spark, sf_dir)), "repository_id"), "repository_id")
 
 
 def _undirected(edges):
@@ -286,7 +290,7 @@ def _undirected(edges):
 
 def _fixed(spark, sf_dir):
     """Members by a rule that SQL can state too: the package folder of a file is its community."""
-    edges = written(_grouped(spark, sf_dir)[0], "file-edges")
+    edges = written(_edges(spark, sf_dir), "file-edges")
     nodes = edges.select("repository_id", F.explode(F.array("from_node", "to_node")).alias("member")).distinct()
     return edges, nodes.withColumn("community", F.substring_index("member", "/", 2))
 
@@ -298,12 +302,12 @@ _SIZES = ", nd AS (SELECT DISTINCT repository_id, n, c FROM (SELECT repository_i
 
 @query("leiden")
 def leiden(spark, sf_dir):
-    return _grouped(spark, sf_dir)[1]
+    return _members(spark, sf_dir)
 
 
 @query("clusters")
 def clusters(spark, sf_dir):
-    return cm.clusters(_grouped(spark, sf_dir)[1], "repository_id", "cluster").withColumn("members", F.array_join("members", ","))
+    return cm.clusters(_members(spark, sf_dir), "repository_id", "cluster").withColumn("members", F.array_join("members", ","))
 
 
 @query("communities")
@@ -355,7 +359,7 @@ def architecture(spark, sf_dir):
 
 @query("graph_view", sql(f"{_COMM}, un AS (SELECT DISTINCT repository_id, least(fn, tn) AS a, greatest(fn, tn) AS b FROM ed) SELECT node, count(*) AS degree FROM (SELECT a AS node FROM un UNION ALL SELECT b FROM un) GROUP BY node", "refs"))
 def graph_view(spark, sf_dir):
-    return cm.degrees(_undirected(_grouped(spark, sf_dir)[0]))
+    return cm.degrees(_undirected(_edges(spark, sf_dir)))
 
 
 @query("graph_view_nodes", sql(f"{_COMM}, un AS (SELECT DISTINCT repository_id, fn AS a, tn AS b FROM ed UNION SELECT repository_id, tn, fn FROM ed), nd AS (SELECT repository_id, a AS node, count(*) AS degree FROM un GROUP BY ALL) SELECT *, split_part(node, '/', 1) || '/' || split_part(node, '/', 2) AS community FROM nd", "refs"))
@@ -365,7 +369,7 @@ def graph_view_nodes(spark, sf_dir):
 
 @query("graph_view_edges", sql(f"{_FILES} SELECT from_repository AS repository_id, from_file AS from_node, to_file AS to_node, weight::DOUBLE AS weight, split_part(kinds, ',', 1) AS kind FROM fgr", "refs"))
 def graph_view_edges(spark, sf_dir):
-    return cm.view_edges(_grouped(spark, sf_dir)[0], "repository_id")
+    return cm.view_edges(_edges(spark, sf_dir), "repository_id")
 
 
 @query("meta_graph", sql(f"{_COMM} SELECT repository_id, least(fc, tc) AS a, greatest(fc, tc) AS b, count(*) AS weight FROM ed WHERE fc <> tc GROUP BY ALL", "refs"))
@@ -384,7 +388,7 @@ def layout(spark, sf_dir):
 
 @query("couplings")
 def couplings(spark, sf_dir):
-    return cm.couplings(_undirected(_grouped(spark, sf_dir)[0]), "repository_id")
+    return cm.couplings(_undirected(_edges(spark, sf_dir)), "repository_id")
 
 
 @query("naming")
@@ -410,4 +414,4 @@ def community_of_symbol(spark, sf_dir):
 
 @query("facade_split")
 def facade_split(spark, sf_dir):
-    return cm.detect(cm.facade_split(_undirected(_grouped(spark, sf_dir)[0]), "repository_id"), "repository_id")
+    return cm.detect(cm.facade_split(_undirected(_edges(spark, sf_dir)), "repository_id"), "repository_id")

@@ -170,3 +170,28 @@ def test_couplings_are_the_same_on_a_rerun_and_skip_whole_communities(spark):
     assert one == two and not [r for r in one if r[2].startswith("solo")]
     best = max(one, key=lambda r: r[5])
     assert best[2] == "glue" and best[5] >= 0.5 and best[8] is not None
+
+
+def test_routes_and_topics_meet_as_by_brute_force(spark):
+    import itertools
+    import random
+
+    dice = random.Random(11)
+    route = lambda: "/" + "/".join(dice.choice(["a", "b", "{}"]) for _ in range(dice.randint(0, 4)))
+    topic = lambda wild: "/".join(dice.choice(["a", "b", "+"] if wild else ["a", "b"]) for _ in range(dice.randint(1, 3)))
+    rows = [(f"{i}", "f", "r", i, "s", "http", dice.choice(["producer", "consumer"]), route(), False, 0.9, True) for i in range(120)]
+    for i in range(60):
+        role = dice.choice(["producer", "consumer"])
+        name = topic(role == "consumer")
+        rows.append((f"m{i}", "f", "r", i, "s", "mqtt", role, name, "+" in name, 0.9, True))
+    cols = "id string, file_path string, repository_id string, line int, enclosing_symbol string, protocol string, role string, channel_normalized string, is_pattern boolean, confidence double, resolved boolean"
+    names = {(r[5], r[6], r[7]) for r in rows}
+    same = lambda x, y: x == y or "{}" in (x, y) or y == "+"
+
+    def meets(p, c):
+        a, b = ([x for x in n.split("/") if x] for n in (p, c))
+        return len(a) == len(b) and all(same(x, y) for x, y in zip(a, b, strict=True))
+
+    want = {(x[0], x[2], y[2]) for x, y in itertools.product(names, names) if x[0] == y[0] and x[1] == "producer" and y[1] == "consumer" and meets(x[2], y[2])}
+    got = [tuple(r) for r in ch.distinct_channels(spark.createDataFrame(rows, cols)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
