@@ -57,6 +57,40 @@ def apply_diff(chunks: DataFrame, diff: DataFrame, parsed: DataFrame) -> DataFra
     return chunks.join(gone, ["repository_id", "file_path"], "left_anti").unionByName(parsed)
 
 
+def apply_references(references: DataFrame, diff: DataFrame, imported: DataFrame) -> DataFrame:
+    """References of a snapshot after a diff, by the caller's file.
+
+    Those of modified and deleted files go. ``imported`` replaces the references
+    of every file in it, unchanged ones too, whose targets may have moved; what it
+    holds of files that are gone is left out.
+    """
+    file = ["repository_id", F.col("file_path").alias("caller_file_path")]
+    key = ["repository_id", "caller_file_path"]
+    gone = diff.where(F.col("change").isin("modified", "deleted", "added")).select(*file)
+    deleted = diff.where("change = 'deleted'").select(*file)
+    renewed = imported.select(*key).distinct()
+    stay = references.join(gone, key, "left_anti").join(renewed, key, "left_anti")
+    return stay.select(references.columns).unionByName(imported.join(deleted, key, "left_anti").select(references.columns))
+
+
+def chunk_counts(counts: DataFrame, before: DataFrame, diff: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(repository_id, n) after a diff: stored counts, less the chunks that went, at least 0, and the ones that came."""
+    gone = before.join(diff.where(F.col("change").isin("modified", "deleted", "added")), ["repository_id", "file_path"], "left_semi")
+    each = lambda df, name: df.groupBy("repository_id").agg(F.count("*").alias(name))
+    out = counts.join(each(gone, "_gone"), "repository_id", "full").join(each(parsed, "_new"), "repository_id", "full").na.fill(0, ["n", "_gone", "_new"])
+    return out.select("repository_id", (F.greatest(F.col("n") - F.col("_gone"), F.lit(0)) + F.col("_new")).alias("n"))
+
+
+def stale_analyses(diff: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(repository_id): owners of stored analyses that a diff makes stale, namespaces as ``__namespace__:name``.
+
+    A diff of unchanged, retained and unreadable files makes none stale.
+    """
+    changed = diff.where(F.col("change").isin("modified", "deleted", "added")).select("repository_id").distinct()
+    spaces = repositories.join(changed, F.col("id") == F.col("repository_id"), "left_semi").where("namespace is not null").select(F.concat(F.lit("__namespace__:"), "namespace").alias("repository_id")).distinct()
+    return changed.unionByName(spaces)
+
+
 def overview_report(sections: dict[str, DataFrame]) -> DataFrame:
     """(section, n, note): the rows of each section; one that fails has the error's class as its note, and the others stay."""
     out = []

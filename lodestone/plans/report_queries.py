@@ -208,6 +208,38 @@ _upsert("upsert_hashes", "chunks", "file_path", "symbol_name", "'x'")
 _upsert("repos", "repositories", "id", "name", "upper(name)")
 
 
+_DIFF = f"{_SNAP}, d AS (SELECT repository_id, file_path, {_CHANGE} AS change FROM b FULL JOIN a USING (repository_id, file_path))"
+
+
+@query("inc_counts", sql(f"{_DIFF}, g AS (SELECT repository_id, count(*) AS n FROM chunks JOIN d USING (repository_id, file_path) WHERE change IN ('modified', 'deleted', 'added') GROUP BY ALL), w AS (SELECT repository_id, count(*) AS n FROM chunks JOIN d USING (repository_id, file_path) WHERE change IN ('added', 'modified') GROUP BY ALL) SELECT repository_id, greatest(5 - coalesce(g.n, 0), 0) + coalesce(w.n, 0) AS n FROM (SELECT DISTINCT repository_id FROM chunks) LEFT JOIN g USING (repository_id) LEFT JOIN w USING (repository_id)", "chunks"))
+def inc_counts(spark, sf_dir):
+    own, before, after = _snapshots(spark, sf_dir)
+    diff = st.snapshot_diff(before, after)
+    new = own.join(diff.where("change in ('added', 'modified')"), ["repository_id", "file_path"], "left_semi")
+    return st.chunk_counts(own.select("repository_id", F.lit(5).cast("long").alias("n")).distinct(), own, diff, new)
+
+
+_RDIFF = "+ d AS (SELECT DISTINCT repository_id, caller_file_path, CASE ascii(substr(caller_file_path, 11, 1)) % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'modified' WHEN 2 THEN 'deleted' ELSE 'retained' END AS change FROM refs)"
+
+
+@query("inc_references", sql(f"{_RDIFF} SELECT id, reference_line FROM refs JOIN d USING (repository_id, caller_file_path) WHERE change IN ('unchanged', 'retained') AND NOT contains(caller_file_path, 'pkg3') UNION ALL SELECT id, reference_line + 100 FROM refs JOIN d USING (repository_id, caller_file_path) WHERE change <> 'deleted' AND contains(caller_file_path, 'pkg3')", "refs"))
+def inc_references(spark, sf_dir):
+    """Files of one package are imported anew, whether they changed or not."""
+    own = view(spark, sf_dir, "refs")
+    kind = F.element_at(F.array(F.lit("unchanged"), F.lit("modified"), F.lit("deleted"), F.lit("retained")), F.ascii(F.substring("caller_file_path", 11, 1)) % 4 + 1)
+    diff = own.select("repository_id", F.col("caller_file_path").alias("file_path"), kind.alias("change")).distinct()
+    again = own.where(F.contains("caller_file_path", F.lit("pkg3"))).withColumn("reference_line", F.col("reference_line") + 100)
+    return st.apply_references(own, diff, again).select("id", "reference_line")
+
+
+@query("inc_stale", sql(f"{_RDIFF}, c AS (SELECT DISTINCT repository_id FROM d WHERE change IN ('modified', 'deleted') AND repository_id <> 'r4') SELECT repository_id FROM c UNION SELECT '__namespace__:' || namespace FROM repositories WHERE id IN (SELECT repository_id FROM c)", "refs", "repositories"))
+def inc_stale(spark, sf_dir):
+    own = view(spark, sf_dir, "refs").where("repository_id <> 'r4'")
+    kind = F.element_at(F.array(F.lit("unchanged"), F.lit("modified"), F.lit("deleted"), F.lit("retained")), F.ascii(F.substring("caller_file_path", 11, 1)) % 4 + 1)
+    diff = own.select("repository_id", F.col("caller_file_path").alias("file_path"), kind.alias("change")).distinct()
+    return st.stale_analyses(diff, view(spark, sf_dir, "repositories"))
+
+
 @query("del_cascade", sql("SELECT v.chunk_id FROM vectors v WHERE v.chunk_id NOT IN (SELECT id FROM chunks WHERE repository_id = 'src1' OR file_path LIKE 'src2/tests/%')", "chunks", "vectors"))
 def del_cascade(spark, sf_dir):
     chunks, vectors = view(spark, sf_dir, "chunks"), view(spark, sf_dir, "vectors")
