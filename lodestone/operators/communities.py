@@ -429,7 +429,7 @@ def community_of_symbol(members: DataFrame, symbol: str) -> DataFrame:
 
 
 def naming_prompts(named: DataFrame, directories: DataFrame, group: str) -> DataFrame:
-    """(id, prompt) for a naming port: members and main directories of each community."""
+    """(id, prompt) for a naming port: members and main directories of each community, which goes by its least member."""
     dirs = directories.groupBy(group, "community").agg(F.concat_ws(", ", F.sort_array(F.collect_list("directory"))).alias("dirs"))
     own = named.withColumn("community", F.array_min("members")).join(dirs, [group, "community"], "left")
     return own.select("id", F.concat(F.lit("Name this module in at most four words. Directories: "), F.coalesce("dirs", F.lit("")), F.lit(". Members: "), F.array_join(F.slice("members", 1, 20), ", ")).alias("prompt"))

@@ -81,13 +81,14 @@ def undirected_symbols(references: DataFrame) -> DataFrame:
     return own.groupBy(*pair).agg(F.round(F.sum(kind_weight(F.col("reference_kind"))), 6).alias("weight"), F.min_by("language", "id").alias("language"), F.min_by("repository_id", "id").alias("repository_id"))
 
 
-def directory_counts(members: DataFrame, group: str, path: str, most: int = 3) -> DataFrame:
+def directory_counts(members: DataFrame, group: str | list[str], path: str, most: int = 3) -> DataFrame:
     """The directories that hold most members of a group: by count, depth and name."""
     from pyspark.sql import Window as W
 
     from lodestone.functions.paths import ancestors
 
-    counted = members.select(group, F.explode(ancestors(F.col(path))).alias("directory")).groupBy(group, "directory").agg(F.count("*").alias("n"))
+    keys = [group] if isinstance(group, str) else group
+    counted = members.select(*keys, F.explode(ancestors(F.col(path))).alias("directory")).groupBy(*keys, "directory").agg(F.count("*").alias("n"))
     depth = F.length("directory") - F.length(F.replace(F.col("directory"), F.lit("/"), F.lit("")))
-    order = W.partitionBy(group).orderBy(F.desc("n"), F.desc(depth), "directory")
+    order = W.partitionBy(*keys).orderBy(F.desc("n"), F.desc(depth), "directory")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

@@ -393,10 +393,9 @@ def couplings(spark, sf_dir):
 
 @query("naming")
 def naming(spark, sf_dir):
-    _, members = _fixed(spark, sf_dir)
-    named = cm.clusters(members, "repository_id", "cluster")
-    dirs = fg.directory_counts(members.withColumn("community", F.col("community")), "community", "member").withColumn("repository_id", F.lit("r1"))
-    return cm.naming_prompts(named, dirs, "repository_id")
+    members = written(_members(spark, sf_dir), "members")
+    dirs = fg.directory_counts(members, ["repository_id", "community"], "member")
+    return cm.naming_prompts(cm.clusters(members, "repository_id", "cluster"), dirs, "repository_id")
 
 
 @query("ns_communities")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import callgraph as cg
 from lodestone.operators import channels as ch
 from lodestone.operators import communities as cm
+from lodestone.operators import filegraph as fg
 from lodestone.operators import flows as fl
 
 SCHEMA = "id string, caller_symbol string, callee_symbol string, caller_file_path string, reference_file_path string, reference_line int, reference_column int, reference_kind string, language string, repository_id string, import_alias string"
@@ -195,3 +196,11 @@ def test_routes_and_topics_meet_as_by_brute_force(spark):
     want = {(x[0], x[2], y[2]) for x, y in itertools.product(names, names) if x[0] == y[0] and x[1] == "producer" and y[1] == "consumer" and meets(x[2], y[2])}
     got = [tuple(r) for r in ch.distinct_channels(spark.createDataFrame(rows, cols)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_naming_prompts_hold_members_and_directories(spark):
+    rows = [(g, m, f"{p}/x.py") for g in ("g", "h") for p in ("a/b", "c") for m in (f"{p}/x.py", f"{p}/y.py")]
+    members = spark.createDataFrame(rows, "g string, member string, community string")
+    dirs = fg.directory_counts(members, ["g", "community"], "member")
+    got = [r.prompt for r in cm.naming_prompts(cm.clusters(members, "g", "cluster"), dirs, "g").collect()]
+    assert len(got) == 4 and all(("Directories: a" in p and "a/b/x.py, a/b/y.py" in p) or ("Directories: c." in p and "c/x.py, c/y.py" in p) for p in got)
