@@ -19,8 +19,9 @@ below which that share of its trusted documents at most falls; else ``threshold`
 
 All passes are DataFrame expressions; the driver only sees the groups and their
 cuts. Broadcast are the ratios (at most ``max_groups`` + 1 groups x ``folds`` x
-``buckets`` numbers: 9 MB) and the trusted ids, at most ``max_trusted`` of them
-(those with the smallest hashes); counts of the raw corpus cover every document.
+``buckets`` numbers: 9 MB) and up to ``BROADCAST_IDS`` trusted ids; more of them
+are shuffled to the rows that a sieve of fixed size (8 MB) lets through. Counts
+of the raw corpus cover every document, and models and cuts every trusted one.
 
 Defined results: a null text has no words and fails; ids are compared as text,
 and a null id is never trusted; repeated rows count each; a null group is the
@@ -42,6 +43,9 @@ SYMBOLS = "[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 ADDED = (*MEASURES, "ratio", "kept")
 WINDOW = 8
+BROADCAST_IDS = 200_000
+SLOTS = 1 << 26  # bits of the sieve
+CHUNK = 1024  # words of 64 bits in a row of it
 
 
 def words(text: Column) -> Column:
@@ -107,18 +111,65 @@ def _bucket(hashed: Column, buckets: int) -> Column:
     return hashed.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def trusted_rows(trusted_ids: DataFrame, max_trusted: int) -> DataFrame:
-    """(_id, _trusted) of the ids that count as trusted."""
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).cast("string").alias("_id")).where("_id is not null").distinct()
-    return ids.orderBy(F.xxhash64("_id"), "_id").limit(max_trusted).withColumn("_trusted", F.lit(True))
+def _place(key: Column) -> tuple[Column, Column, Column]:
+    """Where a key's hash falls in the sieve: its row, the word in that row and the bit in that word."""
+    slot = F.xxhash64(key).bitwiseAND(F.lit(SLOTS - 1))
+    word = F.shiftright(slot, 6)
+    return F.floor(word / CHUNK).cast("int"), F.pmod(word, F.lit(CHUNK)).cast("int"), F.pmod(slot, F.lit(64)).cast("int")
+
+
+def sieve(ids: DataFrame) -> DataFrame:
+    """(_chunk, _bits): ``SLOTS`` bits, set where the hash of an id falls, in rows of ``CHUNK`` words of 64 bits."""
+    chunk, word, bit = _place(F.col("_id"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    number = F.col("id")
+    zeros = ids.sparkSession.range(SLOTS // 64).select(F.floor(number / CHUNK).cast("int").alias("_chunk"), F.pmod(number, F.lit(CHUNK)).cast("int").alias("w"), F.lit(0).cast("long").alias("bits"))
+    bits = ids.select(chunk.alias("_chunk"), word.alias("w"), one.alias("bits")).unionByName(zeros).groupBy("_chunk", "w").agg(F.bit_or("bits").alias("bits"))
+    words = F.transform(F.sort_array(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"])
+    return bits.groupBy("_chunk").agg(words.alias("_bits"))
+
+
+class Trust:
+    """All trusted ids, and how rows meet them.
+
+    Up to ``BROADCAST_IDS`` ids are broadcast. More are joined by a shuffle, and
+    so that not all texts move for it, only with the rows that pass the sieve:
+    every row of a trusted id and few others, which the join tells apart.
+    """
+
+    def __init__(self, trusted_ids: DataFrame):
+        ids = trusted_ids.select(F.col(trusted_ids.columns[0]).cast("string").alias("_id")).where("_id is not null").distinct()
+        self.ids = written(ids.withColumn("_trusted", F.lit(True)), "trusted")
+        self.few = self.ids.count() <= BROADCAST_IDS
+        self.sieve = None if self.few else written(sieve(self.ids), "sieve")
+
+    def _sieved(self, df: DataFrame, through: bool) -> DataFrame:
+        """The rows that pass the sieve, or those that don't; a null id never does."""
+        chunk, word, bit = _place(F.col("_id"))
+        df = df.withColumn("_chunk", chunk).join(F.broadcast(self.sieve), "_chunk")
+        passes = F.col("_id").isNotNull() & (F.getbit(F.get("_bits", word), bit) == 1)
+        return df.where(passes if through else ~passes).drop("_chunk", "_bits")
+
+    def only(self, df: DataFrame) -> DataFrame:
+        """The rows of trusted ids."""
+        if self.few:
+            return df.join(F.broadcast(self.ids), "_id")
+        return self._sieved(df, True).join(self.ids.hint("shuffle_hash"), "_id")
+
+    def marked(self, df: DataFrame) -> DataFrame:
+        """All rows, with _trusted: true or null."""
+        if self.few:
+            return df.join(F.broadcast(self.ids), "_id", "left")
+        found = self._sieved(df, True).join(self.ids.hint("shuffle_hash"), "_id", "left")
+        return found.unionByName(self._sieved(df, False).withColumn("_trusted", F.lit(None).cast("boolean")))
 
 
 REST = "\0rest"
 
 
-def groups_with_models(own: DataFrame, ids: DataFrame, max_groups: int) -> list[str]:
+def groups_with_models(own: DataFrame, trust: Trust, max_groups: int) -> list[str]:
     """The groups with the most trusted documents, by name, and ``REST`` where there are more."""
-    trusted = own.select("_id", "_group").join(F.broadcast(ids), "_id")
+    trusted = trust.only(own.select("_id", "_group"))
     found = [r["_group"] for r in trusted.groupBy("_group").count().orderBy(F.desc("count"), "_group").limit(max_groups + 1).collect()]
     return sorted(found[:max_groups]) + [REST] * (len(found) > max_groups)
 
@@ -138,7 +189,7 @@ class Models:
         df = df.withColumn("_g", F.when(number >= 0, number))
         return df.withColumn("_fold", F.pmod(F.xxhash64(text), F.lit(self.folds)).cast("int"))
 
-    def learn(self, own: DataFrame, ids: DataFrame) -> None:
+    def learn(self, own: DataFrame, trust: Trust) -> None:
         """Count the buckets of every group that has models, over all of its documents, and take the ratios.
 
         A ratio is in millionths of ln(p_trusted / p_raw). ``prior`` counts a
@@ -147,7 +198,7 @@ class Models:
         ones for frequent n-grams than for those they lack.
         """
         rows = self.placed(own, "_text").where("_g is not null")
-        rows = rows.join(F.broadcast(ids), "_id", "left").withColumn("_fold", F.when(F.col("_trusted"), F.col("_fold")))
+        rows = trust.marked(rows).withColumn("_fold", F.when(F.col("_trusted"), F.col("_fold")))
         grams = _with_hashes(rows, "_text").select("_g", "_fold", F.explode(F.concat("_h1", "_h2")).alias("_h"))
         names = [f"t{f}" for f in range(self.folds)]
         in_fold = [F.count(F.when(F.col("_fold") == f, 1)).alias(t) for f, t in enumerate(names)]
@@ -177,10 +228,11 @@ class Models:
         return df.withColumn("ratio", F.when((F.size("_grams") > 0) & F.col("_table").isNotNull(), mean).otherwise(F.lit(0).cast("long")))
 
 
-def cuts(own: DataFrame, ids: DataFrame, models: Models, loss: float) -> list[int | None]:
+def cuts(own: DataFrame, trust: Trust, models: Models, loss: float) -> list[int | None]:
     """The cut of each group: of its trusted documents of 20 words and more, ``loss`` at most have a smaller ratio."""
-    df = models.judged(_with_hashes(models.placed(own.join(F.broadcast(ids), "_id"), "_text"), "_text"))
+    df = models.judged(_with_hashes(models.placed(trust.only(own), "_text"), "_text"))
     # a filter would be copied, with the whole chain of columns behind it, below them; the percentile passes over nulls
+    # and holds a count for each distinct ratio, which are whole millionths
     df = df.withColumn("_of", F.when(F.size("_words") >= 20, F.col("ratio")))
     found = df.groupBy("_g").agg(F.expr(f"percentile_disc({loss}) WITHIN GROUP (ORDER BY _of)").cast("long").alias("cut")).collect()
     by_group = {r["_g"]: r.cut for r in found}
@@ -195,7 +247,6 @@ def quality_rules(
     buckets: int = 16384,
     prior: float = 1.0,
     threshold: float = -0.06,
-    max_trusted: int = 200_000,
     group: str | None = None,
     loss: float | None = None,
     folds: int = 4,
@@ -205,16 +256,16 @@ def quality_rules(
 
     ``trusted_ids``: its first column holds the ids of the trusted documents.
     """
-    ids = trusted_rows(trusted_ids, max_trusted)
+    trust = Trust(trusted_ids)
     plain = [c for c in docs.columns if c.lower() not in ADDED]
     named = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
     key = (F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text"), named.alias("_group"))
     own = docs.select(*key)
-    models = Models(groups_with_models(own, ids, max_groups), buckets, prior, folds)
-    models.learn(own, ids)
+    models = Models(groups_with_models(own, trust, max_groups), buckets, prior, folds)
+    models.learn(own, trust)
     cut = F.lit(round(threshold * 1e6))
     if loss is not None:
-        cut = F.get(F.array(*(F.lit(c).cast("long") for c in cuts(own, ids, models, loss) or [None])), F.col("_g"))
+        cut = F.get(F.array(*(F.lit(c).cast("long") for c in cuts(own, trust, models, loss) or [None])), F.col("_g"))
     # the row travels as one column, so no name in it meets those that are made here
     rows = docs.select(F.struct(*plain).alias("_row"), *key)
     df = models.judged(_measured(_with_hashes(models.placed(rows, "_text"), "_text"), "_text"))

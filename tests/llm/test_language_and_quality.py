@@ -164,6 +164,38 @@ def test_groups_and_cuts_equal_brute_force(spark):
     assert [r.ratio for r in out] == brute_ratios(texts, pooled, trusted, 64)
 
 
+def test_every_trusted_document_counts(spark):
+    """Of 300,000 trusted ids each counts: none are left out of the groups, models or cuts."""
+    texts, trusted = hard_texts(), {0, 5, 7, 8, 9, 11, 12, 15, 60, 61, 62, 63, 64, 65}
+    groups = [(i // 2) % 4 if i % 2 else 0 for i in range(len(texts))]
+    want = brute_ratios(texts, groups, trusted, 64)
+    df = spark.createDataFrame([(i, t, str(groups[i])) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    good = spark.range(-300_000, 0).unionByName(spark.createDataFrame([(i,) for i in trusted], "id long"))
+    out = sorted(qr.quality_rules(df, good, buckets=64, group="lang", loss=0.0).collect(), key=lambda r: r.doc_id)
+    assert [r.ratio for r in out] == want
+    for g in set(groups):
+        low = min((want[i] for i in trusted if groups[i] == g and brute_measures(texts[i])[0] >= 20), default=-(10**9))
+        assert all(r.kept == (not r.base_failed and r.ratio >= low) for r in out if r.lang == str(g))
+
+
+def test_shuffled_ids_equal_broadcast_ones(spark, monkeypatch):
+    """Null and repeated ids, and a sieve so small that most rows pass it: the join decides."""
+    df = table(spark, n=120).withColumn("lang", F.when(F.length("text") % 3 == 0, "x"))
+    good = spark.createDataFrame([(i,) for i in [*range(0, 60, 2), 3, 3, 100, 102, 105, None]], "doc_id long")
+    run = lambda: Counter(qr.quality_rules(df, good, buckets=64, group="lang", loss=0.1).collect())
+    want = run()
+    assert qr.Trust(good).few
+    monkeypatch.setattr(qr, "BROADCAST_IDS", 3)
+    for slots, chunk in ((64, 1), (256, 2)):
+        monkeypatch.setattr(qr, "SLOTS", slots)
+        monkeypatch.setattr(qr, "CHUNK", chunk)
+        trust = qr.Trust(good)
+        own = df.selectExpr("CAST(doc_id AS string) _id", "text")
+        assert not trust.few and trust.sieve.count() == slots // 64 // chunk
+        assert trust.marked(own).count() == df.count() and trust.only(own).count() == own.join(trust.ids, "_id").count()
+        assert run() == want
+
+
 def test_a_label_does_not_change_its_own_verdict(spark):
     texts = hard_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
