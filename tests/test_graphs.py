@@ -155,6 +155,32 @@ def test_large_groups_are_cut_by_components(spark):
     assert cm.detect(df.where("false"), "g").count() == 0
 
 
+def test_a_large_graph_is_partitioned_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    dice = np.random.default_rng(5)
+    n, edges_ = 5_000, 300_000
+    a, b = dice.integers(0, n, edges_, np.int32), dice.integers(0, n, edges_, np.int32)
+    b[: edges_ // 2] = (a[: edges_ // 2] // 50 * 50 + b[: edges_ // 2] % 50).astype(np.int32)  # planted communities of fifty nodes
+    tracemalloc.start()
+    graph = cm.compact(a, b, np.ones(edges_), n)
+    found = cm.parts(graph)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * edges_ and len(found) == n and (found <= np.arange(n)).all() and len(set(found)) < n // 10
+    assert graph.weight.sum() + 2 * graph.loop.sum() == 2 * edges_ and cm.partition({}) == {}
+
+
+def test_numbers_follow_the_order_of_names(spark):
+    from lodestone.operators import numbering
+
+    rows = [(f"n{i * 7919 % 1000}",) for i in range(3000)]
+    names = numbering.numbered(spark.createDataFrame(rows, "name string").repartition(7))
+    assert [(r.name, r.number) for r in names.orderBy("number").collect()] == [(n, i) for i, n in enumerate(sorted({r[0] for r in rows}))]
+
+
 def test_a_minimum_cut_is_found():
     ring = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i in range(5) for j in range(i)]
     graph = cm.adjacency([*ring("a"), *ring("b"), ("a0", "b0", 0.5), ("a1", "b0", 0.25)])
