@@ -58,6 +58,50 @@ def test_entry_points_and_features(spark):
     assert (got.reach, got.depth, got.file_count) == (4, 2, 4) and 0 < got.criticality <= 1
 
 
+@pytest.mark.parametrize("dense", [60, 400])
+def test_flows_and_their_totals_are_those_of_plain_walks(spark, dense):
+    import random
+
+    dice = random.Random(dense)
+    pairs = {(f"e{i}", f"n{dice.randrange(90)}") for i in range(150) for _ in range(2)} | {(f"n{dice.randrange(90)}", f"n{dice.randrange(90)}") for _ in range(dense)} | {("n1", "n1"), ("e7", "n1")}
+    refs = edges(spark, [(*p, "call") for p in sorted(pairs)]).withColumn("reference_file_path", F.concat(F.lit("f"), F.length("callee_symbol"), F.substring("callee_symbol", 2, 1)))
+    entries = spark.createDataFrame([(f"e{i}",) for i in range(150)] + [("n1",), ("n2",), ("lonely",)], "entry_point string")
+    want = {}
+    for start in [r[0] for r in entries.collect()]:
+        seen, level = {start: 0}, [start]
+        while level:
+            level = sorted({b for a, b in pairs if a in level} - set(seen))
+            seen |= dict.fromkeys(level, max(seen.values()) + 1)
+        want[start] = seen
+    got = {}
+    for r in fl.feature_nodes(refs, entries).collect():
+        assert got.setdefault(r.entry_point, {}).setdefault(r.symbol, r.depth) == r.depth
+    assert got == want
+    files = {r.symbol: r.file_path for r in fl.symbol_places(refs).collect()}
+    totals = {r.entry_point: (r.reach, r.depth, r.file_count) for r in fl.feature_totals(refs, entries).collect()}
+    assert totals == {s: (len(seen), max(seen.values()), len({files[n] for n in seen if n in files})) for s, seen in want.items()}
+
+
+def test_one_task_walks_many_starts(spark):
+    """A thousand entry points over a chain of three hundred symbols: a join for each level would be three hundred rounds."""
+    import time
+
+    refs = edges(spark, [(f"e{i}", f"s{i % 10}", "call") for i in range(1000)] + [(f"s{i}", f"s{i + 1}", "call") for i in range(300)])
+    began = time.time()
+    got = {r.entry_point: (r.reach, r.depth) for r in fl.feature_totals(refs, fl.entry_points(refs)).collect()}
+    assert got == {f"e{i}": (302 - i % 10, 301 - i % 10) for i in range(1000)} and time.time() - began < 60
+
+
+def test_bits_are_counted():
+    import numpy as np
+
+    from lodestone.operators.reach import bit_counts
+
+    bits = np.random.default_rng(1).integers(0, 2**63, (1001, 3), np.uint64)
+    want = [sum(int(x) >> i & 1 for x in bits[:, w]) for w in range(3) for i in range(64)]
+    assert bit_counts(bits).tolist() == want and bit_counts(bits[:0]).sum() == 0
+
+
 def test_cliques_are_found(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i in range(6) for j in range(i)]
     found = cm.partition(cm.adjacency([*clique("a"), *clique("b"), ("a0", "b0", 0.5)]))
