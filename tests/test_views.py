@@ -23,5 +23,5 @@ def test_references_are_made_distinct_as_numbers(spark, tmp_path):
     """The names of a reference are many times as long as the numbers they are made of: only numbers are shuffled."""
     _save(spark, tmp_path, [(1, 2, 3, 4, 5.0, "R")] * 2)
     plan = view(spark, str(tmp_path), "refs")._jdf.queryExecution().optimizedPlan().toString()
-    grouped = plan[plan.index("Aggregate [") :].split("\n")[0]
+    grouped = plan[plan.index("Aggregate [") :].split("]")[0]
     assert "caller_symbol" not in grouped and "l_partkey" in grouped
