@@ -6,6 +6,8 @@ for each symbol; levels are written, so lineage doesn't grow.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,10 +62,10 @@ def resolve_symbols(references: DataFrame, name: str, regex: bool = False) -> Da
 
 def resolve_matches(references: DataFrame, name: str, regex: bool = False) -> DataFrame:
     """As above; where nothing is found, a fuzzy pattern is tried."""
-    found = resolve_symbols(references, name, regex)
+    found = written(resolve_symbols(references, name, regex), "found")  # a scan of all references, asked for several times
     if regex or found.limit(1).count():
         return found
-    return resolve_symbols(references, f".*{fuzzy_pattern(name)}.*", True)
+    return written(resolve_symbols(references, f".*{fuzzy_pattern(name)}.*", True), "found")
 
 
 def resolve_roots(references: DataFrame, name: str, regex: bool = False) -> tuple[DataFrame, bool]:
@@ -125,20 +127,26 @@ def context(references: DataFrame, name: str, repository: str | None = None, reg
 
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes through which no other was reached."""
+    nodes = written(nodes, "nodes")  # a traversal's result, read twice
     return nodes.join(nodes.select(F.col("via_symbol").alias("symbol")).distinct(), "symbol", "left_anti")
 
 
 def chains(nodes: DataFrame) -> DataFrame:
-    """(leaf, path) with one leaf-first path to a root for each leaf."""
+    """(leaf, path) with one leaf-first path to a root for each leaf; a level's finished paths stay where they were written."""
+    nodes = written(nodes.select("symbol", "depth", "via_symbol", "reference_id"), "nodes")
     up = nodes.where(F.col("symbol") != ANONYMOUS).groupBy("symbol").agg(F.min_by("via_symbol", F.struct("depth", "via_symbol")).alias("up"))
-    out = leaves(nodes).select(F.col("symbol").alias("leaf"), "reference_id", F.array("symbol", "via_symbol").alias("path"), F.col("via_symbol").alias("symbol"))
-    out = written(out, "chains")
+    up = written(up, "up")
+    out = nodes.join(nodes.select(F.col("via_symbol").alias("symbol")).distinct(), "symbol", "left_anti")
+    out = out.select(F.col("symbol").alias("leaf"), "reference_id", F.array("symbol", "via_symbol").alias("path"), F.col("via_symbol").alias("symbol"))
+    done = []
     while True:
         step = out.join(up, "symbol", "left")
         grown = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("path", F.array("up")))
-        out = written(step.select("leaf", "reference_id", grown.alias("path"), F.col("up").alias("symbol")), "chains")
-        if not out.where("symbol is not null").limit(1).count():
-            return out.select("leaf", "reference_id", "path")
+        step = written(step.select("leaf", "reference_id", grown.alias("path"), F.col("up").alias("symbol")), "chains")
+        done.append(step.where("symbol is null").select("leaf", "reference_id", "path"))
+        out = step.where("symbol is not null")
+        if not out.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
 
 
 def all_routes(references: DataFrame, root: str, most: int | None = None) -> DataFrame:

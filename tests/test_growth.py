@@ -63,3 +63,23 @@ def test_links_are_made_without_grouping_pairs(spark):
     both = [("p.js", 1, "kafka", "producer", "t", 0.9), ("p.js", 2, "amqp", "producer", "t", 0.7), ("p.js", 3, "amqp", "producer", "t", 0.8), ("c.js", 4, "kafka", "consumer", "t", 0.9), ("c.js", 5, "amqp", "consumer", "t", 0.6)]
     got = ch.link(_endpoints(spark, both)).collect()
     assert [(r.protocol, r.weight, r.confidence, r.p_best.line, r.c_best.line) for r in got] == [("amqp", 6, 0.9, 1, 4)]
+
+
+@pytest.mark.parametrize("report", [cg.leaves, cg.chains])
+def test_a_traversal_is_read_once(spark, counted, report):
+    nodes = spark.createDataFrame([("b", 1, "a", "1"), ("c", 2, "b", "2"), ("d", 3, "c", "3")], "symbol string, depth int, via_symbol string, reference_id string")
+    passed, seen = counted
+    assert [r[0] for r in report(nodes.withColumn("via_symbol", passed("via_symbol"))).collect()] == ["d"] and seen.value == 3
+
+
+def test_roots_are_resolved_once(spark, counted):
+    passed, seen = counted
+    refs = edges(spark, [("a", "b", "call"), ("b", "c", "call")]).withColumn("callee_symbol", passed("callee_symbol"))
+    roots, found = cg.resolve_roots(refs, "c")
+    once = seen.value
+    assert found and [r.symbol for r in roots.collect()] == ["c"] and seen.value == once <= 4
+
+
+def test_traversals_take_references_as_they_are(spark):
+    plan = graph_queries.edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
