@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.storage import written
+
 # Bits of an occurrence's roles.
 DEFINITION, IMPORT, READ, FORWARD = 1, 2, 8, 64
 # Kinds of symbols by the kind of reference that they make.
@@ -52,39 +54,51 @@ def reference_kind(roles: Column, kind: Column, symbol: Column) -> Column:
 
 
 def _named(occurrences: DataFrame) -> DataFrame:
+    """Occurrences of indexed languages with their names, written: each distinct symbol's name is made once."""
     own = occurrences.where(F.col("language").isin(*INDEXED) & ~F.startswith("symbol", F.lit("local ")))
-    return own.withColumn("name", normalized_symbol(F.col("symbol"), F.col("language"))).where("name <> ''")
+    names = own.select("symbol", "language").distinct().withColumn("name", normalized_symbol(F.col("symbol"), F.col("language")))
+    return written(own.join(written(names, "names").where("name <> ''"), ["symbol", "language"]), "occurrences")
 
 
 def definition_files(occurrences: DataFrame) -> DataFrame:
     """(symbol, file): the first document that defines a raw symbol; forward definitions only fill gaps."""
+    return _definitions(_named(occurrences.where(F.col("roles").bitwiseAND(DEFINITION | FORWARD) != 0)))
+
+
+def _definitions(named: DataFrame) -> DataFrame:
     defines, forward = (F.col("roles").bitwiseAND(b) != 0 for b in (DEFINITION, FORWARD))
-    own = _named(occurrences).where(defines | forward)
+    own = named.where(defines | forward)
     return own.groupBy("symbol").agg(F.min_by("document", F.struct((~defines).alias("weak"), "ordinal")).alias("file"))
 
 
 def with_scopes(occurrences: DataFrame) -> DataFrame:
     """Occurrences with the name of the last callable defined at or above their line in the document (an as-of join).
 
-    Lines are dealt into blocks within documents, so a long document isn't one
-    task's: each block starts from the last definition of the blocks before it.
+    A scope is its line's, so it is found for the distinct lines, which are
+    dealt into blocks within documents: a long document isn't one task's, and each
+    block starts from the last definition of the blocks before it.
     """
-    block = F.floor(F.col("line") / 4096)
     callable_ = (F.col("roles").bitwiseAND(DEFINITION) != 0) & F.endswith("symbol", F.lit("()."))
-    own = occurrences.withColumn("_block", block).withColumn("_scope", F.when(callable_, F.struct("line", normalized_symbol(F.col("symbol"), F.col("language")).alias("name"))))
-    last = own.where("_scope is not null").groupBy("document", "_block").agg(F.max("_scope").alias("_last"))
-    blocks = own.select("document", "_block").distinct().join(last, ["document", "_block"], "left")
+    name = F.col("name") if "name" in occurrences.columns else normalized_symbol(F.col("symbol"), F.col("language"))
+    defined = occurrences.where(callable_).groupBy("document", "line").agg(F.max(name).alias("_name"))
+    lines = occurrences.select("document", "line").distinct().join(defined, ["document", "line"], "left").withColumn("_block", F.floor(F.col("line") / 4096))
+    lines = written(lines.withColumn("_scope", F.when(F.col("_name").isNotNull(), F.struct("line", F.col("_name").alias("name")))), "lines")
+    last = lines.groupBy("document", "_block").agg(F.max("_scope").alias("_last"))
     before = W.partitionBy("document").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = blocks.select("document", "_block", F.last("_last", True).over(before).alias("_carried"))
+    carried = last.select("document", "_block", F.last("_last", True).over(before).alias("_carried"))
     here = W.partitionBy("document", "_block").orderBy("line").rangeBetween(W.unboundedPreceding, W.currentRow)
-    out = own.withColumn("_here", F.max("_scope").over(here)).join(carried, ["document", "_block"])
-    return out.withColumn("enclosing_scope", F.coalesce("_here", "_carried")["name"]).drop("_block", "_scope", "_here", "_carried")
+    known = lines.withColumn("_here", F.max("_scope").over(here)).join(carried, ["document", "_block"])
+    known = known.select("document", "line", F.coalesce("_here", "_carried")["name"].alias("enclosing_scope"))
+    return occurrences.join(known, ["document", "line"])
 
 
 def references(occurrences: DataFrame, repository: str) -> DataFrame:
     """The rows of symbol_references: occurrences that aren't definitions, with the callee's file and the scope they are in."""
-    scoped = with_scopes(_named(occurrences))
-    own = scoped.where((F.col("roles").bitwiseAND(DEFINITION | FORWARD) == 0)).join(definition_files(occurrences), "symbol", "left")
+    named = _named(occurrences)
+    own = with_scopes(named).where(F.col("roles").bitwiseAND(DEFINITION | FORWARD) == 0)
+    own = own.select("document", "line", "column", "name", reference_kind(F.col("roles"), F.col("kind"), F.col("symbol")).alias("reference_kind"), "symbol", "language", "enclosing_scope")
+    # the id is made of these columns and the repository: rows that occur again go before it is, and before the files come
+    own = own.dropDuplicates(["document", "line", "column", "name", "reference_kind"]).join(_definitions(named), "symbol", "left")
     out = own.select(
         F.col("enclosing_scope").alias("caller_symbol"),
         F.col("name").alias("callee_symbol"),
@@ -92,7 +106,7 @@ def references(occurrences: DataFrame, repository: str) -> DataFrame:
         F.coalesce("file", "document").alias("reference_file_path"),
         (F.col("line") + 1).cast("int").alias("reference_line"),
         (F.col("column") + 1).cast("int").alias("reference_column"),
-        reference_kind(F.col("roles"), F.col("kind"), F.col("symbol")).alias("reference_kind"),
+        "reference_kind",
         "language",
         F.lit(repository).alias("repository_id"),
         "enclosing_scope",
@@ -100,7 +114,7 @@ def references(occurrences: DataFrame, repository: str) -> DataFrame:
         package_of(F.col("symbol")).alias("callee_package"),
     )
     key = ("repository_id", "caller_file_path", "reference_line", "reference_column", "callee_symbol", "reference_kind")
-    return out.withColumn("id", F.sha2(F.concat_ws("\0", *key).cast("binary"), 256)).dropDuplicates(["id"])
+    return out.withColumn("id", F.sha2(F.concat_ws("\0", *key).cast("binary"), 256))
 
 
 def without_ignored(refs: DataFrame, ignored: DataFrame) -> DataFrame:

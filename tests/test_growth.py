@@ -83,3 +83,10 @@ def test_roots_are_resolved_once(spark, counted):
 def test_traversals_take_references_as_they_are(spark):
     plan = graph_queries.edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_symbols_are_named_once(spark):
+    rows = [("d.ts", 0, "typescript", "s npm lib 1.0 src/`a.ts`/C#m().", 1 if i == 0 else 0, i, 3, None) for i in range(50)]
+    out = scip.references(spark.createDataFrame(rows, "document string, ordinal int, language string, symbol string, roles int, line int, column int, kind string"), "r")
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {(r.callee_symbol, r.caller_symbol, r.reference_line) for r in out.collect()} == {("C#m", "C#m", i + 1) for i in range(1, 50)}
