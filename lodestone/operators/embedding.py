@@ -12,14 +12,14 @@ from lodestone.operators.retrieval import words
 
 def hashed_embedding(text: Column, dims: int) -> Column:
     """Unit vector of signed counts of hashed words; zeros for no words. Not a model: near texts only share words."""
-    hashed = F.transform(words(text), lambda w: F.xxhash64(w))
-    each = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: F.aggregate(hashed, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == d, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
-    )
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda v: F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(0.0).cast("float"))
-    return F.get(F.transform(F.array(each), unit), F.lit(0))  # through a lambda, so the counts are taken once
+    signed = lambda h: F.concat(F.lit(";"), F.pmod(h, F.lit(dims)), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, "+").otherwise("-"))
+    marks = F.array_join(F.transform(words(text), lambda w: signed(F.xxhash64(w))), "")
+    # counts of marks in a string cost a scan of it, not a call for each word and dimension
+    count = lambda s, mark: (F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit("")))) / F.lit(float(len(mark)))
+    each = lambda s: F.array(*(count(s, f";{d}+") - count(s, f";{d}-") for d in range(dims)))
+    sized = F.transform(F.transform(F.array(marks), each), lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("norm")))
+    unit = lambda s: F.transform(s["v"], lambda x: F.when(s["norm"] > 0, x / s["norm"]).otherwise(0.0).cast("float"))
+    return F.get(F.transform(sized, unit), F.lit(0))  # through lambdas, so the marks, counts and norm are made once
 
 
 def embed(chunks: DataFrame, model: Callable[[Column], Column], name: str) -> DataFrame:

@@ -90,3 +90,16 @@ def test_symbols_are_named_once(spark):
     out = scip.references(spark.createDataFrame(rows, "document string, ordinal int, language string, symbol string, roles int, line int, column int, kind string"), "r")
     assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {(r.callee_symbol, r.caller_symbol, r.reference_line) for r in out.collect()} == {("C#m", "C#m", i + 1) for i in range(1, 50)}
+
+
+def test_embeddings_of_many_dimensions(spark):
+    df = spark.range(150).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda x: F.concat(F.lit("w"), F.pmod(x * (F.col("id") + 1), F.lit(977))))).alias("t"))
+    began = time.time()
+    found = df.select("t", hashed_embedding(F.col("t"), 256).alias("v")).collect()
+    assert time.time() - began < 20
+    hashes = df.limit(1).select(F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("h")).first().h
+    want = [0.0] * 256
+    for h in hashes:
+        want[h % 256] += 1.0 if (h >> 32) % 2 == 0 else -1.0
+    norm = sum(x * x for x in want) ** 0.5
+    assert found[0].v == pytest.approx([x / norm for x in want], abs=1e-6)
