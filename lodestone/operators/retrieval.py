@@ -115,8 +115,9 @@ class TextIndex:
         each = text.select("id", F.size("w").cast("double").alias("dl"), F.explode("w").alias("term"))
         each = each.groupBy("term", "id", "dl").agg(F.count("*").cast("double").alias("tf"))  # combined where the chunk is
         self.postings = written(each.repartitionByRange("term").sortWithinPartitions("term"), "postings")
-        n, self.average = text.agg(F.count("*"), F.avg(F.size("w"))).first()
-        self.n = n or 0
+        # the postings hold every word once, so the corpus isn't split again for its figures
+        self.n, total = chunks.count(), self.postings.agg(F.sum("tf")).first()[0]
+        self.average = total / self.n if total else None
 
     def bm25(self, chunks: DataFrame, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """The same rows as ``bm25`` over the indexed chunks."""

@@ -103,3 +103,10 @@ def test_embeddings_of_many_dimensions(spark):
         want[h % 256] += 1.0 if (h >> 32) % 2 == 0 else -1.0
     norm = sum(x * x for x in want) ** 0.5
     assert found[0].v == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
+def test_a_corpus_is_split_once_for_its_postings(spark, counted):
+    passed, seen = counted
+    chunks = spark.createDataFrame([(f"c{i}", "one two two" if i else "", None) for i in range(20)], "id string, content string, symbol_name string")
+    index = TextIndex(chunks.withColumn("content", passed("content")))
+    assert seen.value == 20 and index.n == 20 and index.average == 57 / 20
