@@ -83,7 +83,8 @@ def src_scip(spark, sf_dir):
 @query("scip_ignore", sql("SELECT id FROM refs WHERE caller_file_path NOT LIKE 'src/pkg1/%' AND reference_file_path NOT LIKE 'src/pkg1/%'", "refs"))
 def scip_ignore(spark, sf_dir):
     refs = view(spark, sf_dir, "refs")
-    paths = refs.select(F.col("caller_file_path").alias("file_path")).union(refs.select("reference_file_path")).distinct()
+    every = view(spark, sf_dir, "refs", distinct=False)
+    paths = every.select(F.col("caller_file_path").alias("file_path")).union(every.select("reference_file_path")).distinct()
     return scip.without_ignored(refs, paths.where(walk.is_ignored(F.col("file_path"), ["/src/pkg1/"]))).select("id")
 
 
